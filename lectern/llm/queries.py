@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from lectern.llm.bpe_matrix import encode_column
 from lectern.llm.common import table
+from lectern.llm.split_items import split_column
+from lectern.llm.vectors_mih import nearest_vectors, neighbour_pairs
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +19,34 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of which one is among the other's five nearest within squared distance 0.4."""
+    return neighbour_pairs(nearest_vectors(table(spark, sf_dir, "chunk_vectors")))
+
+
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest chunks of every chunk with distance and rank."""
+    return nearest_vectors(table(spark, sf_dir, "chunk_vectors"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each chunk over 300 characters can be cut at natural boundaries alone."""
+    pieces = split_column(table(spark, sf_dir, "refined_document_chunks"), limit=300, overlap=0, longer_only=True)
+    return pieces.groupBy("chunk_id").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all chunks, at most 300 characters long, with an overlap of 40."""
+    chunks = table(spark, sf_dir, "refined_document_chunks").select("chunk_id", "title", "content").distinct()
+    return split_column(chunks, limit=300, overlap=40)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p6_ids": p6_ids,
+}
 
 SQL: dict[str, str] = {}
