@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe_matrix import encode_column
 from lectern.llm.common import table
+from lectern.llm.near_dup_covering import NearDuplicates, near_duplicates
+from lectern.llm.shared_spans import shared_shares, shared_spans
 from lectern.llm.split_items import split_column
 from lectern.llm.vectors_mih import nearest_vectors, neighbour_pairs
 
@@ -29,6 +31,22 @@ def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "chunk_vectors"))
 
 
+def _recurring(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    questions = table(spark, sf_dir, "answered_questions").select(F.lit("answered_questions").alias("tbl"), F.col("qa_id").alias("id"), F.col("question").alias("text"))
+    chunks = table(spark, sf_dir, "refined_document_chunks").select(F.lit("refined_document_chunks").alias("tbl"), F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    return near_duplicates(questions.unionByName(chunks))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of questions and pairs of chunks whose substring sets have a similarity of 0.7 or more."""
+    return _recurring(spark, sf_dir).pairs()
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class, copies and links of every question and chunk."""
+    return _recurring(spark, sf_dir).records()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each chunk over 300 characters can be cut at natural boundaries alone."""
     pieces = split_column(table(spark, sf_dir, "refined_document_chunks"), limit=300, overlap=0, longer_only=True)
@@ -41,12 +59,27 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_column(chunks, limit=300, overlap=40)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of characters of each document that stand in another one too, by stretches of 200."""
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is shared with another one."""
+    docs = table(spark, sf_dir, "documents")
+    return shared_shares(docs, shared_spans(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
 }
 
 SQL: dict[str, str] = {}
