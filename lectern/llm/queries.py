@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm.bpe_matrix import encode_column
+from lectern.llm.bpe_matrix import encode_column, token_counts
 from lectern.llm.common import table
+from lectern.llm.fill_containers import fill_containers
 from lectern.llm.near_dup_covering import NearDuplicates, near_duplicates
 from lectern.llm.shared_spans import shared_shares, shared_spans
 from lectern.llm.split_items import split_column
@@ -59,6 +60,11 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_column(chunks, limit=300, overlap=40)
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 4,096 tokens of every document."""
+    return fill_containers(token_counts(table(spark, sf_dir, "documents")), capacity=4096)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of characters of each document that stand in another one too, by stretches of 200."""
     return shared_spans(table(spark, sf_dir, "documents"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
 }
