@@ -12,6 +12,7 @@ from lectern.llm.bpe_matrix import encode_column, token_counts
 from lectern.llm.common import table
 from lectern.llm.fill_containers import fill_containers
 from lectern.llm.near_dup_covering import NearDuplicates, near_duplicates
+from lectern.llm.qa_defects import defective_pairs
 from lectern.llm.shared_spans import shared_shares, shared_spans
 from lectern.llm.split_items import split_column
 from lectern.llm.vectors_mih import nearest_vectors, neighbour_pairs
@@ -48,6 +49,11 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recurring(spark, sf_dir).records()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defect of every defective item of the question bank."""
+    return defective_pairs(table(spark, sf_dir, "answered_questions"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each chunk over 300 characters can be cut at natural boundaries alone."""
     pieces = split_column(table(spark, sf_dir, "refined_document_chunks"), limit=300, overlap=0, longer_only=True)
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_nearest": p1_nearest,
     "p3_found": p3_found,
     "p3_records": p3_records,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
