@@ -13,6 +13,7 @@ from lectern.llm.common import table
 from lectern.llm.fill_containers import fill_containers
 from lectern.llm.near_dup_covering import NearDuplicates, near_duplicates
 from lectern.llm.qa_defects import defective_pairs
+from lectern.llm.scan_repair import noise_pieces, repaired, scan_noise
 from lectern.llm.shared_spans import shared_shares, shared_spans
 from lectern.llm.split_items import split_column
 from lectern.llm.vectors_mih import nearest_vectors, neighbour_pairs
@@ -33,6 +34,17 @@ def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "chunk_vectors"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanning noise in every chunk."""
+    return noise_pieces(scan_noise(table(spark, sf_dir, "refined_document_chunks")))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running text of every chunk."""
+    chunks = table(spark, sf_dir, "refined_document_chunks")
+    return repaired(chunks, scan_noise(chunks))
+
+
 def _recurring(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     questions = table(spark, sf_dir, "answered_questions").select(F.lit("answered_questions").alias("tbl"), F.col("qa_id").alias("id"), F.col("question").alias("text"))
     chunks = table(spark, sf_dir, "refined_document_chunks").select(F.lit("refined_document_chunks").alias("tbl"), F.col("chunk_id").alias("id"), F.col("content").alias("text"))
@@ -85,6 +97,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_records": p3_records,
     "p4_found": p4_found,
