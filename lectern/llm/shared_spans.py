@@ -183,7 +183,7 @@ def merged(spans: DataFrame) -> DataFrame:
 
 
 def shared_spans(
-    df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, gram: int = 32, shard_chars: int = 1_000_000, hot_regions: int = 2_000
+    df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, gram: int = 64, shard_chars: int = 1_000_000, hot_regions: int = 2_000
 ) -> DataFrame:
     """``key, span_start, span_len``: the maximal runs of characters that lie in a stretch of ``least`` characters
     which also occurs in the text of another key.
