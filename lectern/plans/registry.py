@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import search
+from lectern.plans import graph, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **graph.QUERIES}
 
-SQL: dict[str, str] = {**search.SQL}
+SQL: dict[str, str] = {**search.SQL, **graph.SQL}
