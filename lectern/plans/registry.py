@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import graph, search
+from lectern.plans import graph, search, textbook
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **graph.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **graph.QUERIES, **textbook.QUERIES}
 
-SQL: dict[str, str] = {**search.SQL, **graph.SQL}
+SQL: dict[str, str] = {**search.SQL, **graph.SQL, **textbook.SQL}
