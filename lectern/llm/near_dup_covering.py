@@ -12,8 +12,10 @@ Equal texts are one class; only classes are hashed, joined and compared.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
 
 
+@cache
+def hash_name(name: str | None) -> int:
+    """64 bits of a table's name."""
+    return int.from_bytes(hashlib.sha256((name or "").encode()).digest()[:8], "big")
+
+
 class CoveringSketch:
     """Minimum hashes of ``blocks * coordinates`` functions, the tables' keys and the bit sketch made of them."""
 
@@ -120,6 +128,9 @@ def sketches(texts: DataFrame, gram: int, blocks: int, coordinates: int, radius:
                 part = batch.slice(at, 1_000)
                 got = part.column(4).to_pylist()
                 keys, bits = sketch.keys(sketch.minima(got))
+                # one table of keys for each ``tbl``: its hash is part of them
+                own = np.array([hash_name(t) for t in part.column(0).to_pylist()], np.uint64)
+                keys = mixed(keys.view(np.uint64) ^ own[:, None]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(bits), lists], names=["tbl", "id", "h1", "h2", "bits", "keys"])
 
@@ -186,21 +197,18 @@ def near_duplicates(
     0.7, none to speak of above 0.8.
     """
     texts = reduced(df, least)
-    raw = sketches(texts, gram, blocks, coordinates, radius)
-    once = texts.groupBy("tbl", "id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("tbl", "id", "h.h1", "h.h2")
-    reps = once.groupBy("tbl", "h1", "h2").agg(F.min("id").alias("rep"))
-    members = once.join(reps, ["tbl", "h1", "h2"]).select("tbl", "id", "rep")
-    one_each = raw.groupBy("tbl", "h1", "h2").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    classes = cut_lineage(one_each.join(reps, ["tbl", "h1", "h2"]))
-    rows = classes.select("tbl", "rep", "bits", F.posexplode("keys").alias("table", "key"))
-    where = F.xxhash64("tbl", "table", "key").alias("at")
-    a = rows.select(where, "tbl", F.col("rep").alias("rep_a"), "bits")
-    b = rows.select(where, F.col("tbl").alias("tbl_b"), F.col("rep").alias("rep_b"), F.col("bits").alias("bits_b"))
+    raw = cut_lineage(sketches(texts, gram, blocks, coordinates, radius))
+    once = raw.groupBy("tbl", "id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("tbl", "id", "h.h1", "h.h2")
+    reps = cut_lineage(once.groupBy("tbl", "h1", "h2").agg(F.min("id").alias("id")))
+    members = once.join(reps.withColumnRenamed("id", "rep"), ["tbl", "h1", "h2"]).select("tbl", "id", "rep")
+    classes = raw.join(reps, ["tbl", "id", "h1", "h2"], "left_semi").dropDuplicates(["tbl", "id", "h1", "h2"])
+    rows = classes.select("tbl", "id", "bits", F.explode("keys").alias("at"))
+    a = rows.select("at", "tbl", F.col("id").alias("rep_a"), "bits")
+    b = rows.select("at", F.col("tbl").alias("tbl_b"), F.col("id").alias("rep_b"), F.col("bits").alias("bits_b"))
     close = (F.col("tbl") == F.col("tbl_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))) <= apart)
     found = a.join(b, "at").where(close).select("tbl", "rep_a", "rep_b").distinct()
     candidates = cut_lineage(found)
-    asked = candidates.select("tbl", F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
-    asked = asked.join(classes.select("tbl", "rep", "h1", "h2"), ["tbl", "rep"]).withColumnRenamed("rep", "id")
+    asked = candidates.select("tbl", F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct().join(reps, ["tbl", "id"])
     wanted = texts.join(asked, ["tbl", "id", "h1", "h2"], "left_semi").dropDuplicates(["tbl", "id"])
     left = wanted.select("tbl", F.col("id").alias("rep_a"), F.col("t").alias("t_a"))
     right = wanted.select("tbl", F.col("id").alias("rep_b"), F.col("t").alias("t_b"))
