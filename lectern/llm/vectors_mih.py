@@ -1,6 +1,6 @@
 """The nearest vectors of every vector, by multi-index hashing of learned rotated binary codes.
 
-On the driver a bounded sample fixes a rotation (iterative quantisation of the centred sample) and a few centroids.
+On the driver a bounded sample fixes a rotation (iterative quantisation) and a few centroids.
 Each distinct vector goes to the cell of its nearest centroid and visits the other cells whose border is near. In a
 cell the codes are split into substrings, each with its own index: by the pigeonhole principle, two codes within
 ``substrings * (flips + 1) - 1`` bits of each other have a substring with at most ``flips`` differing bits, and all
@@ -33,10 +33,13 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and rotation that bring the signs of the rotated sample near to the sample (iterative quantisation)."""
-    mean = sample.mean(0)
-    x = (sample - mean).astype(np.float64)
+def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> np.ndarray:
+    """The rotation that brings the signs of the rotated sample near to the sample (iterative quantisation).
+
+    The sample isn't centred: angles are seen from the origin, so that near vectors have near codes also where the
+    whole collection is close together.
+    """
+    x = sample.astype(np.float64)
     # whole-width principal axes: no direction is dropped, the rotation only spreads the variance over the bits
     _, axes = np.linalg.eigh(x.T @ x)
     projected = x @ axes
@@ -45,7 +48,7 @@ def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple
         signs = np.where(projected @ turn >= 0, 1.0, -1.0)
         u, _, v = np.linalg.svd(projected.T @ signs)
         turn = u @ v
-    return mean.astype(np.float32), (axes @ turn).astype(np.float32)
+    return (axes @ turn).astype(np.float32)
 
 
 def learn_cells(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -77,14 +80,14 @@ def flip_masks(bits: int, flips: int) -> np.ndarray:
 
 
 def search_cell(
-    x: np.ndarray, keys: np.ndarray, home: np.ndarray, mean: np.ndarray, rotation: np.ndarray, k: int, radius: float, substrings: int, flips: int
+    x: np.ndarray, keys: np.ndarray, home: np.ndarray, rotation: np.ndarray, k: int, radius: float, substrings: int, flips: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directed candidate pairs (position, position, squared distance) of one cell: the best ``k`` of every vector.
 
     ``home`` marks the vectors of the cell itself; pairs of two visitors are left to other cells.
     """
     n, dim = x.shape
-    signs = (x - mean) @ rotation >= 0
+    signs = x @ rotation >= 0
     edges = np.linspace(0, dim, substrings + 1).astype(int)
     parts = [signs[:, a:b] @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(edges, edges[1:], strict=False)]
     words = np.packbits(np.pad(signs, ((0, 0), (0, -dim % 64))), axis=1).view(np.uint64)
@@ -171,7 +174,7 @@ def nearest_vectors(
     sample = np.array(picked.column(0).combine_chunks().flatten(), np.float32).reshape(-1, dim)
     if not len(sample):
         return spark.createDataFrame([], "id bigint, neighbour bigint, dist double, rank int").withColumnRenamed("id", key)
-    mean, rotation = learn_rotation(sample)
+    rotation = learn_rotation(sample)
     centre = learn_cells(sample, math.ceil(total / cell_rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,7 @@ def nearest_vectors(
     def search(cell: pa.Table) -> pa.Table:
         x = np.array(cell.column("v").combine_chunks().flatten(), np.float32).reshape(-1, dim)
         keys = np.array(cell.column("rep"), np.int64)
-        a, b, d = search_cell(x, keys, np.array(cell.column("own")), mean, rotation, k, radius, substrings, flips)
+        a, b, d = search_cell(x, keys, np.array(cell.column("own")), rotation, k, radius, substrings, flips)
         return pa.table({"rep": keys[a], "other": keys[b], "d": d})
 
     placed = reps.select("rep", "v").mapInArrow(place, "cell int, own boolean, rep bigint, v array<float>")
