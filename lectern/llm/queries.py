@@ -110,4 +110,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": p8_shares,
 }
 
-SQL: dict[str, str] = {}
+#: Exact counterparts where SQL can take whole tables. The others are tested against brute force or other encoders.
+SQL: dict[str, str] = {
+    "p1_found": """WITH v AS (SELECT chunk_id AS id, any_value(embedding)::FLOAT[96] AS f, any_value(embedding) AS v FROM chunk_vectors WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+near AS (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS d FROM v AS a JOIN v AS b ON a.id <> b.id AND array_distance(a.f, b.f) < 0.64),
+ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM near WHERE d <= 0.4)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM ranked WHERE n <= 5""",
+    "p5_found": r"""WITH c AS (SELECT DISTINCT chunk_id, content FROM refined_document_chunks WHERE length(content) > 300),
+m AS (SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(content, '([。！？!?])', '\1' || chr(1), 'g'), '\.([\s　\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}])', '.' || chr(1) || '\1', 'g'), '\r?\n[ \t]*\r?\n', chr(1), 'g') AS t FROM c),
+s AS (SELECT chunk_id, length(regexp_replace(unnest(string_split(t, chr(1))), '^[\s　\x{a0}]+|[\s　\x{a0}]+$', '', 'g')) AS n FROM m)
+SELECT chunk_id, CASE WHEN max(n) > 300 THEN 'forced' ELSE 'natural' END AS cut FROM s GROUP BY chunk_id""",
+    "p8_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM d)),
+s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r)
+SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_len FROM g GROUP BY doc_id, run""",
+}
