@@ -135,9 +135,11 @@ def read_chunks(chunks: DataFrame, model: Model) -> DataFrame:
 
 
 def fitted_model(chunks: DataFrame, sample_rows: int) -> Model:
-    """The line model, trained on at most ``sample_rows`` chunks picked by the hash of their key."""
-    share = chunks.where(F.instr("content", "\n") > 0)
-    picked = share.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    """The line model, trained on about ``sample_rows`` chunks picked by the hash of their key, at most twice as many."""
+    several = chunks.where(F.instr("content", "\n") > 0)
+    share = min(1.0, sample_rows / max(1, several.count()))
+    # a share of the keys by hash and a limit: neither a task nor the driver gets more than the sample
+    picked = several.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * sample_rows).collect()
     seen = []
     for r in picked:
         lines = lines_of(r["content"])
@@ -241,7 +243,7 @@ def scan_noise(df: DataFrame, key: str = "chunk_id", text: str = "content", samp
 
     Null keys and null contents take no part; blank and one-line contents have no noise that could be told. A row
     delivered again counts once; with ``title``, ``path_titles`` and ``metadata`` null or absent, headers are known
-    by their looks alone. The line model is trained on at most ``sample_rows`` chunks; words, contexts and all
+    by their looks alone. The line model is trained on at most ``2 * sample_rows`` chunks; words, contexts and all
     decisions cover every chunk.
     """
     chunks = chunks_of(df, key, text)
@@ -350,7 +352,7 @@ def read_chunks(chunks: DataFrame, model: Model) -> DataFrame:
 
 
 def fitted_model(chunks: DataFrame, sample_rows: int) -> Model:
-    """The line model, trained on at most ``sample_rows`` chunks picked by the hash of their key."""
+    """The line model, trained on about ``sample_rows`` chunks picked by the hash of their key, at most twice as many."""
     share = chunks.where(F.instr("content", "\n") > 0)
     picked = share.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
     seen = []
@@ -456,7 +458,7 @@ def scan_noise(df: DataFrame, key: str = "chunk_id", text: str = "content", samp
 
     Null keys and null contents take no part; blank and one-line contents have no noise that could be told. A row
     delivered again counts once; with ``title``, ``path_titles`` and ``metadata`` null or absent, headers are known
-    by their looks alone. The line model is trained on at most ``sample_rows`` chunks; words, contexts and all
+    by their looks alone. The line model is trained on at most ``2 * sample_rows`` chunks; words, contexts and all
     decisions cover every chunk.
     """
     chunks = chunks_of(df, key, text)
