@@ -196,7 +196,7 @@ def shared_spans(
     anchors = cut_lineage(find_anchors(docs, least, gram))
     several = anchors.groupBy("fp").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("fp")
     shared = anchors.join(several, "fp").distinct()
-    regions = cut_regions(shared, docs.distinct(), least).withColumns({"h1": F.xxhash64("fp", "t"), "h2": F.xxhash64(F.lit("second"), "fp", "t")})
+    regions = cut_regions(shared, docs, least).withColumns({"h1": F.xxhash64("fp", "t"), "h2": F.xxhash64(F.lit("second"), "fp", "t")})
     regions = cut_lineage(regions.where(F.char_length("t") >= least))
     one_each = regions.groupBy("fp", "h1", "h2").agg(F.first("t").alias("t"), F.min("doc").alias("doc"), (F.min("doc") != F.max("doc")).alias("many"))
     one_each = cut_lineage(one_each)
