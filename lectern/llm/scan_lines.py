@@ -28,7 +28,7 @@ NUMBER_ASIDE = re.compile(r"^\s*\d{1,5}(?:\s{2,}|\s*[|·•—]\s*)\S|\S(?:\s{2,
 SPACED = re.compile(r"^(?:\S\s+){4,}\S$")
 END = tuple("。.!！?？:：;；…")
 CJK = re.compile(r"[一-鿿]")
-LATIN = r"A-Za-zÀ-ɏ"
+LATIN = r"A-Za-zÀ-ɏﬀ-ﬆ"
 WORDS = re.compile(rf"[{LATIN}]{{2,}}")
 PART = re.compile(r"\s*[(（]\s*part\s*\d+\s*[)）]\s*$", re.IGNORECASE)
 

@@ -17,15 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut_lineage
-from lectern.llm.scan_lines import BODY, CJK, FIRST, HEADER, LATIN, PAGE, Model, is_scanned, known_titles, label, lines_of, observe, train
+from lectern.llm.scan_lines import BODY, CHAPTER, CJK, FIRST, HEADER, LATIN, PAGE, Model, is_scanned, known_titles, label, letters, lines_of, observe, train
 
 # What optical recognition makes of letters (correct, misread) and of Chinese characters.
-CONFUSED = [("e", "c"), ("s", "5"), ("i", "j"), ("t", "f"), ("o", "0"), ("l", "I"), ("d", "cl"), ("l", "1"), ("m", "rn"), ("u", "ii"), ("g", "q"), ("h", "b"), ("w", "vv"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "1"), ("I", "l")]
+CONFUSED = [
+    ("e", "c"), ("s", "5"), ("i", "j"), ("t", "f"), ("o", "0"), ("l", "I"), ("l", "1"), ("m", "rn"), ("u", "ii"), ("g", "q"), ("h", "b"), ("w", "vv"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "1"), ("I", "l"),
+    ("E", "C"), ("T", "F"), ("G", "Q"), ("H", "B"), ("D", "Cl"), ("U", "Ii"), ("d", "cl"), ("cl", "d"), ("rn", "m"), ("nn", "im"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ")]
 CONFUSED_HAN = [
     ("入", "人"), ("元", "兀"), ("顶", "项"), ("点", "占"), ("价", "阶"), ("复", "夏"), ("队", "阠"), ("归", "旧"), ("已", "巳"), ("已", "己"), ("组", "纽"), ("阵", "陈"), ("度", "庋"), ("时", "吋"), ("比", "此"),
     ("数", "敎"), ("边", "辺"), ("查", "査"), ("算", "箅"), ("径", "经"), ("平", "乎"), ("序", "庌"), ("子", "孑"), ("运", "远"), ("果", "杲"), ("未", "末"), ("明", "朋"), ("合", "台"), ("权", "杈"), ("针", "钍"),
     ("人", "入"), ("项", "顶"), ("末", "未"), ("大", "太"), ("太", "大"), ("日", "曰"), ("目", "日"), ("间", "问"), ("问", "间"), ("土", "士"), ("千", "干"), ("干", "千"), ("天", "夭"), ("体", "休"), ("令", "今"), ("今", "令"), ("名", "各"), ("各", "名"),
 ]
+LIGATURES = {bad: good for good, bad in CONFUSED if "ﬀ" <= bad <= "ﬆ"}
 HYPHENS = "-‐­¬"
 
 TOKEN = re.compile(rf"[{LATIN}0-9]+(?:[-'’][{LATIN}0-9]+)*")
@@ -46,7 +49,9 @@ def undone(word: str) -> list[str]:
         while at >= 0:
             out[word[:at] + good + word[at + len(bad) :]] = None
             at = word.find(bad, at + 1)
-    out.pop(word, None)
+    whole = "".join(LIGATURES.get(c, c) for c in word)
+    if whole != word:
+        return [whole, *(v for v in out if v != whole)]
     return list(out)
 
 
@@ -79,14 +84,18 @@ class ScanReader:
 
     def chunk(self, key: int, content: str, metadata: dict[str, str] | None, path: list[str] | None, title: str | None) -> None:
         lines = lines_of(content)
+        for name in known_titles(metadata, path, None):
+            self.counts["t" + name, False] += 1
         if not is_scanned(lines):
             self.count(content, False)
             return
         seen = observe(lines, known_titles(metadata, path, title))
         body: list[tuple[int, str]] = []
-        for (i, line), state in zip(lines, label(lines, seen, self.model), strict=True):
+        for (i, line), f, state in zip(lines, seen, label(lines, seen, self.model), strict=True):
             if state == BODY:
                 body.append((i, line))
+                if f.flow and len(name := letters(CHAPTER.sub("", line.strip()))) >= 4:  # perhaps a title known elsewhere
+                    self.rows.append((key, i, 0, "title", line.strip(), name, ""))
             elif state in (HEADER, PAGE):
                 self.rows.append((key, i, 0, "header" if state == HEADER else "page_number", line.strip(), "", ""))
         cut = [line for _, line in body]
@@ -116,7 +125,7 @@ READ = "id bigint, line int, col int, kind string, piece string, left string, ri
 
 
 def read_chunks(chunks: DataFrame, model: Model) -> DataFrame:
-    """Rows of three sorts: found lines (``header``, ``page_number``), questions (``hyphen``, ``word``, ``han``) and
+    """Rows of three sorts: found lines (``header``, ``page_number``), questions (``hyphen``, ``word``, ``han``, ``title``) and
     counts (``clean``, ``scan``: the item is ``piece``, its number ``n``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +168,13 @@ def answered_words(rows: DataFrame, clean: DataFrame, scan: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["w", "v"])
 
     asked = distinct.mapInArrow(variants, "w string, v string")
-    known = asked.withColumn("item", F.concat(F.lit("w"), F.lower("v"))).join(clean, "item").withColumnRenamed("n", "good").drop("item")
+    known = asked.withColumn("item", F.concat(F.lit("w"), F.lower("v"))).join(clean, "item", "left").fillna(0, ["n"]).withColumnRenamed("n", "good").drop("item")
     own = known.withColumn("item", F.concat(F.lit("w"), F.lower("w"))).join(clean, "item", "left").withColumnRenamed("n", "bad")
     own = own.join(scan.withColumnRenamed("n", "scans"), "item", "left").fillna(0, ["bad", "scans"])
-    sure = (F.col("good") >= 3) & (F.col("good") >= 200 * F.col("bad")) & (F.col("good") >= F.when(F.col("w").rlike("[0-9]"), 0).otherwise(3 * F.col("scans")))
+    odd, ligature = F.col("w").rlike("[0-9ﬀ-ﬆ]"), F.col("w").rlike("[ﬀ-ﬆ]")
+    likely = (F.col("good") >= F.when(odd, 1).otherwise(3)) & (F.col("good") >= 200 * F.col("bad")) & (F.col("good") >= F.when(odd, 0).otherwise(3 * F.col("scans")))
+    # a ligature is never right; without better knowledge it is written out
+    sure = likely | (ligature & ~F.col("v").rlike("[ﬀ-ﬆ]"))
     best = own.where(sure).groupBy("w").agg(F.max_by("v", F.struct("good", "v")).alias("v"))
     found = words.join(best, words["left"] == best["w"])
     return found.select("id", "line", "col", F.lit("misread").alias("kind"), F.col("piece").alias("old"), F.replace("piece", "w", "v").alias("piece"))
@@ -252,6 +264,8 @@ def scan_noise(df: DataFrame, key: str = "chunk_id", text: str = "content", samp
     counts = cut_lineage(counts)
     clean, scan = counts.where("kind = 'clean'").select("item", "n"), counts.where("kind = 'scan'").select("item", "n")
     found = rows.where("kind in ('header', 'page_number')").select("id", "line", "col", "kind", F.col("piece").alias("old"), "piece")
+    titles = rows.where("kind = 'title'").join(clean.where(F.col("item").startswith("t")).select(F.substring("item", 2, 1_000).alias("left")), "left")
+    found = found.unionByName(titles.select("id", "line", "col", F.lit("header").alias("kind"), F.col("piece").alias("old"), "piece"))
     every = found.unionByName(answered_breaks(rows, clean)).unionByName(answered_words(rows, clean, scan)).unionByName(answered_han(rows, clean))
     return every.distinct().withColumnRenamed("id", key)
 
@@ -287,227 +301,6 @@ def reassemble(content: str, fixes: list[dict]) -> str:
             lines.append(line)
     if held:
         lines.append(held[0] + held[1])
-    if not scanned:
-            for i, c in enumerate(text):
-                if c in SEEN_HAN:
-                    self.counts["u" + c, False] += 1
-                    for k in contexts(text, i):
-                        self.counts[k + c, False] += 1
-
-    def chunk(self, key: int, content: str, metadata: dict[str, str] | None, path: list[str] | None, title: str | None) -> None:
-        lines = lines_of(content)
-        if not is_scanned(lines):
-            self.count(content, False)
-            return
-        seen = observe(lines, known_titles(metadata, path, title))
-        body: list[tuple[int, str]] = []
-        for (i, line), state in zip(lines, label(lines, seen, self.model), strict=True):
-            if state == BODY:
-                body.append((i, line))
-            elif state in (HEADER, PAGE):
-                self.rows.append((key, i, 0, "header" if state == HEADER else "page_number", line.strip(), "", ""))
-        cut = [line for _, line in body]
-        for k in range(len(body) - 1):
-            left, right = LEFT.search(cut[k]), RIGHT.match(body[k + 1][1])
-            if left and right and re.search(rf"[{LATIN}]", left[1]) and re.search(rf"[{LATIN}]", right[1]):
-                self.rows.append((key, body[k][0], 0, "hyphen", "", left[1], right[1]))
-                # neither part is a word; blanks keep the columns
-                cut[k] = cut[k][: left.start()]
-                cut[k + 1] = " " * right.end() + body[k + 1][1][right.end() :]
-        text, places = "", []
-        for k, (i, _) in enumerate(body):
-            line = cut[k].strip()
-            indent = cut[k].find(line) if line else 0
-            for m in TOKEN.finditer(line):
-                for s in SEGMENT.finditer(m[0]):
-                    if len(s[0]) >= 3 and re.search(rf"[{LATIN}]", s[0]):
-                        self.rows.append((key, i, indent + m.start(), "word", m[0], s[0], ""))
-            self.count(line, True)
-            places += [(i, indent + j, len(text) + j) for j, c in enumerate(line) if c in WRONG_HAN]
-            text += line
-        for i, col, at in places:
-            self.rows.append((key, i, col, "han", text[at], "\n".join(contexts(text, at)), ""))
-
-
-READ = "id bigint, line int, col int, kind string, piece string, left string, right string, n bigint"
-
-
-def read_chunks(chunks: DataFrame, model: Model) -> DataFrame:
-    """Rows of three sorts: found lines (``header``, ``page_number``), questions (``hyphen``, ``word``, ``han``) and
-    counts (``clean``, ``scan``: the item is ``piece``, its number ``n``)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in READ.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        for batch in batches:
-            reader = ScanReader(model)
-            for key, content, metadata, path, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                reader.chunk(key, content, dict(metadata) if metadata else None, path, title)
-            rows = [(*r, None) for r in reader.rows]
-            rows += [(None, None, None, "scan" if s else "clean", item, None, None, n) for (item, s), n in reader.counts.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return chunks.select("id", "content", "metadata", "path", "title").mapInArrow(run, READ)
-
-
-def fitted_model(chunks: DataFrame, sample_rows: int) -> Model:
-    """The line model, trained on about ``sample_rows`` chunks picked by the hash of their key, at most twice as many."""
-    share = chunks.where(F.instr("content", "\n") > 0)
-    picked = share.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
-    seen = []
-    for r in picked:
-        lines = lines_of(r["content"])
-        if is_scanned(lines):
-            seen.append((lines, observe(lines, known_titles(r["metadata"], r["path"], r["title"]))))
-    return train(seen) if seen else FIRST
-
-
-def answered_words(rows: DataFrame, clean: DataFrame, scan: DataFrame) -> DataFrame:
-    """``id, line, col, kind, old, piece`` of the misread words: only scans have the word, clean text has another."""
-    words = rows.where("kind = 'word'")
-    distinct = words.select(F.col("left").alias("w")).distinct()
-
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(w, v) for w in batch.column(0).to_pylist() for v in undone(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["w", "v"])
-
-    asked = distinct.mapInArrow(variants, "w string, v string")
-    known = asked.withColumn("item", F.concat(F.lit("w"), F.lower("v"))).join(clean, "item").withColumnRenamed("n", "good").drop("item")
-    own = known.withColumn("item", F.concat(F.lit("w"), F.lower("w"))).join(clean, "item", "left").withColumnRenamed("n", "bad")
-    own = own.join(scan.withColumnRenamed("n", "scans"), "item", "left").fillna(0, ["bad", "scans"])
-    sure = (F.col("good") >= 3) & (F.col("good") >= 200 * F.col("bad")) & (F.col("good") >= F.when(F.col("w").rlike("[0-9]"), 0).otherwise(3 * F.col("scans")))
-    best = own.where(sure).groupBy("w").agg(F.max_by("v", F.struct("good", "v")).alias("v"))
-    found = words.join(best, words["left"] == best["w"])
-    return found.select("id", "line", "col", F.lit("misread").alias("kind"), F.col("piece").alias("old"), F.replace("piece", "w", "v").alias("piece"))
-
-
-def answered_breaks(rows: DataFrame, clean: DataFrame) -> DataFrame:
-    """``id, line, col, kind, old, piece`` of the broken words: as they must read."""
-    breaks = rows.where("kind = 'hyphen'").select("left", "right").distinct()
-
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[str, str, str, str, str]] = []
-            for left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = SEGMENT.findall(left)[-1], SEGMENT.findall(right)[0]
-                head, tail = left[: len(left) - len(a)], right[len(b) :]
-                out.append((left, right, "joined", (a + b).lower(), head + a + b + tail))
-                out.append((left, right, "first", a.lower(), f"{left}-{right}"))
-                out.append((left, right, "second", b.lower(), f"{left}-{right}"))
-                out += [(left, right, "variant", v.lower(), head + v + tail) for v in undone(a + b)]
-                out += [(left, right, "first variant", v.lower(), f"{head}{v}-{right}") for v in undone(a)]
-                out += [(left, right, "second variant", v.lower(), f"{left}-{v}{tail}") for v in undone(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(5)], names=["left", "right", "role", "word", "form"])
-
-    asked = breaks.mapInArrow(forms, "left string, right string, role string, word string, form string")
-    known = asked.withColumn("item", F.concat(F.lit("w"), "word")).join(clean, "item", "left").fillna(0, ["n"])
-
-    def most(role: str) -> Column:
-        return F.max(F.when(F.col("role") == role, F.col("n")))
-
-    def form(role: str) -> Column:
-        return F.max_by(F.when(F.col("role") == role, F.col("form")), F.when(F.col("role") == role, F.struct("n", "form")))
-
-    per = known.groupBy("left", "right").agg(
-        most("joined").alias("j"), most("first").alias("a"), most("second").alias("b"), most("variant").alias("v"), most("first variant").alias("av"), most("second variant").alias("bv"),
-        form("joined").alias("joined"), form("first").alias("apart"), form("variant").alias("better"), form("first variant").alias("a_better"), form("second variant").alias("b_better"),
-    ).fillna(0, ["v", "av", "bv"])
-    piece = (
-        F.when(F.col("j") >= 1, F.col("joined"))
-        .when((F.col("a") >= 3) & (F.col("b") >= 3), F.col("apart"))
-        .when(F.col("v") >= 3, F.col("better"))
-        .when((F.col("av") >= 3) & (F.col("b") >= 3), F.col("a_better"))
-        .when((F.col("a") >= 3) & (F.col("bv") >= 3), F.col("b_better"))
-        .when((F.col("a") >= 1) & (F.col("b") >= 1), F.col("apart"))
-        .otherwise(F.col("joined"))
-    )
-    sure = per.select("left", "right", piece.alias("fixed"))
-    return rows.where("kind = 'hyphen'").join(sure, ["left", "right"]).select("id", "line", "col", "kind", F.concat_ws("\n", "left", "right").alias("old"), F.col("fixed").alias("piece"))
-
-
-def answered_han(rows: DataFrame, clean: DataFrame) -> DataFrame:
-    """``id, line, col, kind, old, piece`` of the misread Chinese characters."""
-    pairs = F.create_map(*[x for bad, goods in WRONG_HAN.items() for x in (F.lit(bad), F.array(*map(F.lit, goods)))])
-    asked = rows.where("kind = 'han'").select("id", "line", "col", F.col("piece").alias("old"), F.split("left", "\n").alias("c"), F.explode(F.element_at(pairs, F.col("piece"))).alias("good"))
-    shapes = asked.select(F.explode("c").alias("shape"), "old", "good").distinct()
-    items = shapes.select("shape", "old", "good", F.concat("shape", "old").alias("bad_item"), F.concat("shape", "good").alias("item"))
-    counted = items.join(clean, "item", "left").withColumnRenamed("n", "n_good").drop("item")
-    counted = counted.withColumnRenamed("bad_item", "item").join(clean, "item", "left").withColumnRenamed("n", "n_bad").fillna(0, ["n_good", "n_bad"]).drop("item")
-    each = asked.withColumn("shape", F.explode("c")).drop("c").join(counted, ["shape", "old", "good"])
-    summed = each.groupBy("id", "line", "col", "old", "good").agg(F.sum("n_good").alias("g"), F.sum("n_bad").alias("b"), F.sum((F.col("n_good") > 10 * F.col("n_bad")).cast("int")).alias("windows"))
-    alone = clean.where(F.col("item").startswith("u")).select(F.substring("item", 2, 2).alias("old"), F.col("n").alias("own"))
-    summed = summed.join(F.broadcast(alone), "old", "left").fillna(0, ["own"])
-    sure = ((F.col("g") >= 3) & (F.col("g") >= 10 * F.col("b"))) | ((F.col("own") == 0) & (F.col("b") == 0))
-    best = summed.where(sure).groupBy("id", "line", "col", "old").agg(F.max_by("good", F.struct("g", "good")).alias("piece"))
-    return best.select("id", "line", "col", F.lit("misread").alias("kind"), "old", "piece")
-
-
-def chunks_of(df: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """The columns that the repair reads, under its own names."""
-    title = F.col("title").cast("string") if "title" in df.columns else F.lit(None).cast("string")
-    path = F.col("path_titles") if "path_titles" in df.columns else F.lit(None).cast("array<string>")
-    metadata = F.col("metadata") if "metadata" in df.columns else F.lit(None).cast("map<string,string>")
-    out = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("content"), metadata.alias("metadata"), path.alias("path"), title.alias("title"))
-    return out.where(F.col("id").isNotNull() & F.col("content").isNotNull())
-
-
-def scan_noise(df: DataFrame, key: str = "chunk_id", text: str = "content", sample_rows: int = 5_000) -> DataFrame:
-    """``key, line, col, kind, old, piece``: every found piece of noise with its place.
-
-    Null keys and null contents take no part; blank and one-line contents have no noise that could be told. A row
-    delivered again counts once; with ``title``, ``path_titles`` and ``metadata`` null or absent, headers are known
-    by their looks alone. The line model is trained on at most ``2 * sample_rows`` chunks; words, contexts and all
-    decisions cover every chunk.
-    """
-    chunks = chunks_of(df, key, text)
-    rows = cut_lineage(read_chunks(chunks, fitted_model(chunks, sample_rows)))
-    counts = rows.where("kind in ('clean', 'scan')").groupBy("kind", F.col("piece").alias("item")).agg(F.sum("n").alias("n"))
-    counts = cut_lineage(counts)
-    clean, scan = counts.where("kind = 'clean'").select("item", "n"), counts.where("kind = 'scan'").select("item", "n")
-    found = rows.where("kind in ('header', 'page_number')").select("id", "line", "col", "kind", F.col("piece").alias("old"), "piece")
-    every = found.unionByName(answered_breaks(rows, clean)).unionByName(answered_words(rows, clean, scan)).unionByName(answered_han(rows, clean))
-    return every.distinct().withColumnRenamed("id", key)
-
-
-def noise_pieces(noise: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``key, kind, piece``, each once."""
-    return noise.select(key, "kind", "piece").distinct()
-
-
-def reassemble(content: str, fixes: list[dict]) -> str:
-    """The running text: headers and page numbers gone, words mended, the lines of a paragraph joined."""
-    at: dict[int, list[dict]] = {}
-    for f in fixes:
-        at.setdefault(f["line"], []).append(f)
-    lines: list[str] = []
-    carried = ""
-    scanned = is_scanned(lines_of(content))
-    for i, line in enumerate(content.split("\n")):
-        own = at.get(i, [])
-        if any(f["kind"] in ("header", "page_number") for f in own):
-            continue
-        if carried:  # the rest of a word that the line before ended in
-            line = carried + line.lstrip()
-            carried = ""
-            shifted = True
-        else:
-            shifted = False
-        for f in sorted((f for f in own if f["kind"] == "misread"), key=lambda f: -f["col"]):
-            where = line.find(f["old"]) if shifted else f["col"] if line.startswith(f["old"], f["col"]) else line.find(f["old"])
-            if where >= 0:
-                line = line[:where] + f["piece"] + line[where + len(f["old"]) :]
-        broken = next((f for f in own if f["kind"] == "hyphen"), None)
-        if broken and (m := LEFT.search(line)):
-            left, right = broken["old"].split("\n")
-            # what of the whole word replaces its first part; the second part stays on the next line
-            first = broken["piece"][: len(broken["piece"]) - len(right)]
-            carried, line = line[: m.start()] + first, ""
-            continue
-        lines.append(line)
-    if carried:
-        lines.append(carried)
     if not scanned:
         return "\n".join(lines)
     out = ""
