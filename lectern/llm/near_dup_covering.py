@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import code_points, cut_lineage, ranges
+from lectern.llm.components import components
 
 NOT_ALNUM = re.compile(r"[\W_]+")
 GRAMS_AT_ONCE = 1 << 16
@@ -184,6 +185,12 @@ class NearDuplicates:
         per_class = copies.join(links, ["tbl", "rep"], "left")
         return self.members.join(per_class, ["tbl", "rep"]).select("tbl", "id", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
+    def groups(self) -> DataFrame:
+        """One row for each record: its group, named by the smallest id that is connected to it by links."""
+        roots = components(self.links.select("tbl", F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        own = self.members.join(roots.withColumnRenamed("node", "rep"), ["tbl", "rep"], "left")
+        return own.select("tbl", "id", F.coalesce("root", "rep").alias("group_id"))
+
 
 def near_duplicates(
     df: DataFrame, similarity: float = 0.7, gram: int = 4, least: int = 80, blocks: int = 9, coordinates: int = 6, radius: int = 1, apart: int = 19

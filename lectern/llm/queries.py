@@ -61,6 +61,11 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recurring(spark, sf_dir).records()
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every question and chunk."""
+    return _recurring(spark, sf_dir).groups()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The defect of every defective item of the question bank."""
     return defective_pairs(table(spark, sf_dir, "answered_questions"))
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_repaired": p2_repaired,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p3_records": p3_records,
     "p4_found": p4_found,
     "p5_found": p5_found,
