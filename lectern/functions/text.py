@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Function words that carry no topic (the keyword filter of the graph and of the question bank).
-STOP_WORDS = ["the", "is", "are", "of", "and", "to", "in", "for", "什么", "怎么", "如何", "哪些", "这个", "一个", "可以", "以及"]
+#: Words that carry no topic, for the question bank and for the knowledge graph.
+BANK_STOP_WORDS = ["的", "了", "是", "在", "和", "与", "或", "对", "为", "等", "中", "可以", "将", "具有"]
+GRAPH_STOP_WORDS = ["的", "是", "在", "有", "和", "与", "或", "什么", "哪些", "如何", "为什么", "呢", "吗", "啊", "？", "。", "！", "~"]
 
 WORD = "[a-z0-9à-öø-ÿ]+"
 HAN = "[一-鿿]"
@@ -33,10 +34,10 @@ def tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.regexp_extract_all(low, pairs, F.lit(0)), F.regexp_extract_all(second, pairs, F.lit(0)))
 
 
-def keywords(text: Column) -> Column:
+def keywords(text: Column, stop: list[str] = BANK_STOP_WORDS) -> Column:
     """Distinct tokens longer than one character that are no stop words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(tokens(text), lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop, t)))
+    out = F.array(*map(F.lit, stop))
+    return F.array_distinct(F.filter(tokens(text), lambda t: (F.char_length(t) > 1) & ~F.array_contains(out, t)))
 
 
 def prefix(text: Column, most: int, mark: str = "...") -> Column:

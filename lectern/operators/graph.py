@@ -9,9 +9,15 @@ from pyspark.sql.window import Window
 from lectern.functions.text import is_blank, strip
 
 #: Question words by which a question is routed, in the order in which they are tried.
-ROUTES = [("what_is", "什么是|什么叫|解释|what is|explain"), ("how_to", "如何|怎么|怎样|方法|how to|how can"), ("attribute", "的|有什么|包含|具有|of"), ("list", "有哪些|列出|列表|所有|list|all")]
+ROUTES = [("what_is", "什么是|什么叫|解释"), ("how_to", "如何|怎么|怎样|方法"), ("attribute", "的|有什么|包含|具有"), ("list", "有哪些|列出|列表|所有")]
 #: Words of sentences that tell how something is done.
-HOW_TO_WORDS = ["步骤", "方法", "首先", "然后", "需要", "可以", "using", "by", "step"]
+HOW_TO_WORDS = ["如何", "方法", "步骤", "应该", "需要", "可以", "实现", "操作", "进行"]
+#: The concepts that a question may name where no table of concepts is given.
+ALGORITHM_CONCEPTS = [
+    "枚举", "递归", "分治", "二分查找", "归并排序", "快速排序", "堆排序", "插入排序", "冒泡排序", "选择排序", "计数排序", "桶排序", "基数排序", "滑动窗口", "双指针", "前缀和", "贪心算法", "Kruskal", "Prim",
+    "最小区间覆盖", "Dijkstra", "Huffman编码", "作业调度", "最小字典序构造", "动态规划", "最长公共子序列", "背包问题", "编辑距离", "最近点对", "DFS", "BFS", "图连通块", "拓扑排序", "最短路径", "最小步数",
+    "回溯", "N皇后", "图着色", "剪枝", "最小生成树", "网络流", "KMP", "局部搜索", "模拟退火", "遗传算法",
+]
 
 
 def name_list(name: Column) -> Column:
@@ -163,6 +169,11 @@ def prerequisite_search(asks: DataFrame, edges: DataFrame) -> DataFrame:
     return one.select("qid", F.col("start_name").alias("concept"), F.col("end_name").alias("prereq"), "chunk")
 
 
+def named_concepts(text: Column, concepts: list[str] = ALGORITHM_CONCEPTS) -> Column:
+    """The concepts that a text names, in the order of the list."""
+    return F.filter(F.array(*map(F.lit, concepts)), lambda c: text.contains(c))
+
+
 def term_hits(asks: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
     """``qid, chunk, hits, rank``: the chunks with the most terms of the query (terms: term, chunk)."""
     names = terms.select("term").distinct()

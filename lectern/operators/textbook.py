@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from lectern.functions.text import is_blank, strip
 
 #: Title of the text before the first heading, and titles that don't start a chunk of their own.
-INTRO_TITLE = "引言"
-IGNORED_TITLES = ["目录", "Contents"]
+INTRO_TITLE = "文档起始/前言/版权信息"
+IGNORED_TITLES = ["计算机", "算法设计与分析", "(第3版)", "普通高等教育“十一五”国家级规划教材", "高等学校规划教材", "目录"]
 #: Signs of a question in a chunk's path, its title, and at the start of one of its lines.
 PATH_WORDS = ["练习", "习题", "问题", "算法题", "编程题", "实验题"]
 TITLE_WORDS = ["题", "练习", "习题"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import keywords
+from lectern.functions.text import GRAPH_STOP_WORDS, keywords
 from lectern.operators import graph as G
-from lectern.plans.search import _BANK, _key, asks, bank, chunks
+from lectern.plans.search import _BANK, _key, _list, asks, bank, chunks
 from lectern.sources.tables import table
 
 
@@ -17,7 +17,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asks(spark, sf_dir).select("qid", F.explode(keywords(F.col("query"))).alias("t"))
+    return asks(spark, sf_dir).select("qid", F.explode(keywords(F.col("query"), GRAPH_STOP_WORDS)).alias("t"))
 
 
 def kg_relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def kg_term_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kg_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities named exactly like a keyword of the graph's own start names, cut into words."""
-    words = edges(spark, sf_dir).where("s_name is not null").select(F.col("s_name").alias("qid"), F.explode(keywords(F.col("s_name"))).alias("t")).distinct()
+    words = edges(spark, sf_dir).where("s_name is not null").select(F.col("s_name").alias("qid"), F.explode(keywords(F.col("s_name"), GRAPH_STOP_WORDS)).alias("t")).distinct()
     return G.exact_matches(words, G.entities(edges(spark, sf_dir)))
 
 
@@ -131,11 +131,11 @@ _ENTITIES = f"""best AS (SELECT {_SN} AS name, max({{'c': coalesce(try_cast(s_ch
 ents AS (SELECT name, nullif(r.t, '') AS type, CASE WHEN r.c >= 0 THEN r.c END AS chunk FROM best)"""
 _INDEX = f"ix AS (SELECT name, relation, string_agg(target, '|' ORDER BY target) AS targets FROM (SELECT DISTINCT {_SN} AS name, relation, unnest({_NAMES}) AS target FROM edges WHERE {_SN} <> '') GROUP BY name, relation)"
 _TERMS = f"terms AS (SELECT DISTINCT term, chunk FROM (SELECT s_name AS term, s_chunk AS chunk FROM edges UNION ALL SELECT unnest({_NAMES}), e_chunk FROM edges) WHERE trim(term) <> '' AND chunk IS NOT NULL)"
-_WORDS = f"words AS (SELECT qid, unnest({_key('query')}) AS t FROM asks)"
+_WORDS = f"words AS (SELECT qid, unnest({_key('query', _list(GRAPH_STOP_WORDS))}) AS t FROM asks)"
 _TEXT = "withtext AS (SELECT name, type, chunk, coalesce(content, '') AS text FROM ents LEFT JOIN (SELECT DISTINCT chunk_id, content FROM refined_document_chunks WHERE content IS NOT NULL) ON chunk = chunk_id)"
 _PRE = "pre AS (SELECT DISTINCT concept AS start_name, '前置知识' AS relation, prereq AS end_name, nullif(chunk_key, 'null') AS chunk FROM concept_mapping)"
 _ROUTE = "CASE WHEN question IS NULL OR regexp_matches(question, '^[\\s　]*$') THEN 'prompt' " + " ".join(f"WHEN regexp_matches(lower(question), '{w}') THEN '{n}'" for n, w in G.ROUTES) + " ELSE 'entity' END"
-_HOW = "[" + ", ".join(f"'{w}'" for w in G.HOW_TO_WORDS) + "]"
+_HOW = _list(G.HOW_TO_WORDS)
 
 QUERIES = {
     f.__name__: f

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import HAN, STOP_WORDS, WORD, keywords, prefix, tokens
+from lectern.functions.text import BANK_STOP_WORDS, HAN, WORD, keywords, prefix, tokens
 from lectern.operators import retrieval as R
 from lectern.sources.tables import table
 
@@ -163,11 +163,15 @@ def _tok(x: str) -> str:
     return f"list_concat(list_concat(regexp_extract_all({low}, '{WORD}'), regexp_extract_all({low}, '{HAN}{{2}}')), regexp_extract_all({second}, '{HAN}{{2}}'))"
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-def _key(x: str) -> str:
-    return f"list_distinct(list_filter({_tok(x)}, lambda t: length(t) > 1 and not list_contains({_STOP}, t)))"
+_STOP = _list(BANK_STOP_WORDS)
+
+
+def _key(x: str, stop: str = _STOP) -> str:
+    return f"list_distinct(list_filter({_tok(x)}, lambda t: length(t) > 1 and not list_contains({stop}, t)))"
 
 
 _BANK = "bank AS (SELECT DISTINCT qa_id AS id, question, chapter, answer FROM answered_questions), asks AS (SELECT id AS qid, question AS query FROM bank WHERE id % 50 = 0 AND question IS NOT NULL)"

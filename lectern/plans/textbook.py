@@ -149,11 +149,12 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
+_IGNORED = ", ".join(f"'{t}'" for t in T.IGNORED_TITLES)
 _HEADS = f"""{_LINES}, t AS (SELECT id, line_no, {_strip('line')} AS t FROM lines),
 heads AS (SELECT * FROM (SELECT id, line_no, regexp_extract(t, '^#{{1,6}}{_WS}*(\\d+(?:\\.\\d+)*)?', 1) AS number, regexp_extract(t, '^#{{1,6}}{_WS}*(?:\\d+(?:\\.\\d+)*)?{_WS}*(.*)$', 1) AS body FROM t WHERE regexp_matches(t, '^#{{1,6}}{_WS}*\\S'))),
 parts AS (SELECT id, line_no, number, regexp_extract(body, '第(\\d+)章', 1) AS chapter, regexp_replace(body, '^[\\s　\\x{{a0}}.。，：:、—·-]+', '') AS title FROM heads),
 known AS (SELECT id, line_no, CASE WHEN chapter <> '' THEN chapter WHEN number <> '' THEN number END AS numbering, title,
-  CASE WHEN chapter <> '' THEN 1 WHEN number <> '' THEN length(number) - length(replace(number, '.', '')) + 1 END AS level0 FROM parts WHERE title NOT IN ('目录', 'Contents')),
+  CASE WHEN chapter <> '' THEN 1 WHEN number <> '' THEN length(number) - length(replace(number, '.', '')) + 1 END AS level0 FROM parts WHERE title NOT IN ({_IGNORED})),
 runs AS (SELECT *, count(level0) OVER (PARTITION BY id ORDER BY line_no) AS run FROM known),
 levels AS (SELECT id, line_no, (coalesce(first_value(level0) OVER (PARTITION BY id, run ORDER BY line_no), 1) + row_number() OVER (PARTITION BY id, run ORDER BY line_no) - 1)::INT AS level, numbering, title FROM runs),
 paths AS (SELECT h.id, h.line_no, h.level, h.numbering, h.title, coalesce((SELECT string_agg(a.title, ' > ' ORDER BY a.line_no) FROM levels AS a WHERE a.id = h.id AND a.line_no < h.line_no AND a.level < h.level
@@ -196,7 +197,7 @@ SQL = {
     "heading_paths": f"WITH {_HEADS} SELECT id, line_no, level, numbering, title, path FROM paths",
     "chunk_documents": f"""WITH {_HEADS}, placed AS (SELECT lines.id, lines.line_no, line, level, numbering, title, path, count(level) OVER (PARTITION BY lines.id ORDER BY lines.line_no) AS seq FROM lines LEFT JOIN paths ON lines.id = paths.id AND lines.line_no = paths.line_no),
 grouped AS (SELECT id, seq, max(title) AS title, max(numbering) AS numbering, max(level) AS level, max(path) AS path, {_strip("coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (level IS NULL), '')")} AS content FROM placed GROUP BY id, seq)
-SELECT id, seq, coalesce(title, '引言') AS title, coalesce(numbering, CASE WHEN seq = 0 THEN '0' ELSE title END) AS numbering, coalesce(level, 0) AS level, coalesce(path, '引言') AS path, content FROM grouped WHERE seq > 0 OR content <> ''""",
+SELECT id, seq, coalesce(title, '{T.INTRO_TITLE}') AS title, coalesce(numbering, CASE WHEN seq = 0 THEN '0' ELSE title END) AS numbering, coalesce(level, 0) AS level, coalesce(path, '{T.INTRO_TITLE}') AS path, content FROM grouped WHERE seq > 0 OR content <> ''""",
     "sentence_split": f"WITH {_ROWS}, {_SENT} SELECT id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence FROM sent",
     "sentence_pack": f"WITH {_PACK} SELECT id, part, title, content FROM packed",
     "refined_ids": f"WITH {_PACK} SELECT row_number() OVER (ORDER BY id, part, content) AS dense_id, id, part FROM packed",

@@ -16,6 +16,9 @@ CHUNK = "chunk_id bigint, title string, content string, metadata map<string,stri
 NODE = "struct<label:string, properties:struct<name:string, schema_type:string, `chunk id`:string>>"
 END_NODE = "struct<label:string, properties:struct<name:string, `chunk id`:string, chunk:string>>"
 EDGE = f"start_node {NODE}, relation string, end_node {END_NODE}"
+#: How a chunk of a chunk file is written out, and an entry of an id-to-text file.
+CHUNK_FORMAT = "\nheading_chain:\n%s\ncontent:\n%s\nhtml_content:\n%s\n"
+ENTRY = r"(?s)id:\s*([^\t\n]+)\s*Chunk:\s*(.*?)(?=id:\s*[^\t\n]+\s*Chunk:|\z)"
 ITEM = "question string, chapter string, answer string"
 
 
@@ -56,9 +59,8 @@ def question_bank(spark: SparkSession, path: str) -> DataFrame:
 
 def id_to_chunk(spark: SparkSession, path: str) -> DataFrame:
     """``chunk_key, text`` of a text file of ``id: ... Chunk: ...`` entries; white space squeezed, the last of an id counts."""
-    entry = r"(?s)id:\s*([^\t\n]+)\s*Chunk:\s*(.*?)(?=id:\s*[^\t\n]+\s*Chunk:|\z)"
     whole = spark.read.text(path, wholetext=True)
-    found = whole.select(F.posexplode(F.arrays_zip(F.regexp_extract_all("value", F.lit(entry), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(entry), F.lit(2)).alias("t"))).alias("pos", "e"))
+    found = whole.select(F.posexplode(F.arrays_zip(F.regexp_extract_all("value", F.lit(ENTRY), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(ENTRY), F.lit(2)).alias("t"))).alias("pos", "e"))
     rows = found.select("pos", strip(F.col("e.k")).alias("chunk_key"), strip(F.regexp_replace("e.t", r"(?U)\s+", " ")).alias("text"))
     return rows.groupBy("chunk_key").agg(F.max_by("text", "pos").alias("text"))
 
@@ -81,7 +83,7 @@ def chunk_file(spark: SparkSession, path: str) -> DataFrame:
     """``name, pos, content`` of JSON files with ``chunks`` of heading chain and content, formatted as one text each."""
     schema = "chunks array<struct<heading_chain:string, content:string, html_content:string>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.posexplode("chunks").alias("pos", "c"))
-    return rows.select("name", "pos", F.concat(F.lit("# "), F.coalesce("c.heading_chain", F.lit("")), F.lit("\n"), F.coalesce("c.content", "c.html_content", F.lit(""))).alias("content"))
+    return rows.select("name", "pos", F.format_string(CHUNK_FORMAT, *(F.coalesce(f"c.{x}", F.lit("")) for x in ("heading_chain", "content", "html_content"))).alias("content"))
 
 
 def csv_any_encoding(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:

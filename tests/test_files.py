@@ -38,7 +38,7 @@ def test_text_files(spark, tmp_path):
     (folder / "c.txt").write_text("no")
     assert sorted(r["name"] for r in R.markdown_folder(spark, str(folder)).collect()) == ["a.md", "b.md"]
     (tmp_path / "k.json").write_text(json.dumps({"chunks": [{"heading_chain": "h", "content": "c", "html_content": ""}]}))
-    assert R.load_file(spark, str(tmp_path / "k.json")).first()["content"] == "# h\nc"
+    assert R.load_file(spark, str(tmp_path / "k.json")).first()["content"] == "\nheading_chain:\nh\ncontent:\nc\nhtml_content:\n\n"
     with pytest.raises(ValueError):
         R.load_file(spark, "x.unknown")
 
