@@ -185,6 +185,23 @@ def question_source(path: Column, book: Column) -> Column:
     return F.concat_ws(" | ", F.when(size > 0, tail), F.when(~is_blank(book), book))
 
 
+def rewritten(description: Column, context: Column, key: Column) -> Column:
+    """``id, text``: the description behind the first 100 characters of a context of more than 50."""
+    text = F.when(F.char_length(context) > 50, F.concat(F.lit("背景："), F.substring(context, 1, 100), F.lit("...\n\n"), description)).otherwise(description)
+    return F.struct(F.concat(key, F.lit("_rewritten")).alias("id"), text.alias("text"))
+
+
+def is_good_question(title: Column, description: Column) -> Column:
+    """The documented quality rule: 50 characters or more, no hints or answers in it, a title that isn't a number."""
+    hint = description.rlike("答案|提示|参考")
+    return F.coalesce((F.char_length(description) >= 50) & ~hint & ~F.coalesce(title, F.lit("")).rlike(r"^\s*[0-9.]+\s*$"), F.lit(False))
+
+
+def delimited_titles(text: Column) -> Column:
+    """The titles in ``###`title`###`` marks, in order."""
+    return F.regexp_extract_all(text, F.lit("###`([^`]+)`###"), F.lit(1))
+
+
 def merged_questions(exercise: DataFrame, problem: DataFrame) -> DataFrame:
     """Exercises and problems under one schema: ``type, id, chapter, question``."""
     a = exercise.select(F.lit("exercise").alias("type"), F.col("ex_id").alias("id"), "chapter", "question")

@@ -100,3 +100,19 @@ def question_cards(hits: DataFrame, bank: DataFrame) -> DataFrame:
 def used_numbers(answer: Column) -> Column:
     """Citations of an answer, in both bracket styles."""
     return F.when(~is_blank(answer), cited(answer, both_styles=True))
+
+
+def ordered_subproblems(depends: dict[str, list[str]]) -> list[list[str]]:
+    """Sub-problems in waves: each only needs ones of earlier waves. A plan is small, so this is the driver's work.
+
+    Unknown names count as solved; a circle raises.
+    """
+    left = {k: {d for d in v if d in depends} for k, v in depends.items()}
+    waves: list[list[str]] = []
+    while left:
+        wave = sorted(k for k, v in left.items() if not v)
+        if not wave:
+            raise ValueError(f"circular: {sorted(left)}")
+        waves.append(wave)
+        left = {k: v - set(wave) for k, v in left.items() if k not in wave}
+    return waves

@@ -141,6 +141,25 @@ def answered_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank(spark, sf_dir).groupBy("ex_type").agg(F.count("*").alias("total"), F.count_if(F.col("answer").isNotNull() & (F.col("answer") != T.FAILED)).alias("answered"), F.count_if(F.col("answer") == T.FAILED).alias("failed"))
 
 
+def question_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions behind their chapter and answer as context."""
+    b = bank(spark, sf_dir).where(F.col("question").isNotNull())
+    context = F.concat_ws(" -> ", "chapter", F.substring("answer", 1, 200))
+    r = T.rewritten(F.col("question"), context, F.concat(F.lit("q_"), F.col("qa_id").cast("string")))
+    return b.select("qa_id", r.alias("r")).select("qa_id", "r.id", "r.text")
+
+
+def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that pass the documented quality rule."""
+    return bank(spark, sf_dir).where(T.is_good_question(F.col("title"), F.col("question"))).select("qa_id")
+
+
+def delimited_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles taken back out of a text in which every chunk's title stands marked."""
+    text = F.concat(F.lit("x ###`"), F.coalesce("title", F.lit("-")), F.lit("`### y ###`"), F.col("id").cast("string"), F.lit("`###"))
+    return chunk_rows(spark, sf_dir).select("id", F.array_join(T.delimited_titles(text), "|").alias("titles"))
+
+
 _LINES = "lines AS (SELECT id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id AS id, string_split_regex(text, '\\r?\\n') AS l FROM documents WHERE text IS NOT NULL))"
 _WS = "[\\s\\x0b　\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{1680}\\x{a0}\\x{85}]"
 
@@ -188,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         heading_levels, heading_paths, chunk_documents, sentence_split, sentence_pack, refined_ids, chunk_length_histogram, long_chunk_count, exercise_extract, exercises_per_chapter, problem_extract,
-        question_detect, description_clean, question_ids, question_source, merge_questions, summary_csv_rows, kept_fields, pending_rows, answered_stats,
+        question_detect, description_clean, question_ids, question_source, merge_questions, summary_csv_rows, kept_fields, pending_rows, answered_stats, question_rewrite, quality_filter, delimited_titles,
     )
 }
 
@@ -216,4 +235,8 @@ FROM (SELECT qa_id, ex_id || ' ' || question AS content, coalesce(title, '') AS
     "kept_fields": f"WITH {_BANK} SELECT qa_id, coalesce(chapter, '') AS chapter, coalesce(title, '') AS title, coalesce(content, '') AS content, coalesce(question, '') AS question FROM bank",
     "pending_rows": f"WITH {_BANK} SELECT qa_id, question FROM bank WHERE answer IS NULL",
     "answered_stats": f"WITH {_BANK} SELECT ex_type, count(*) AS total, count(*) FILTER (answer IS NOT NULL AND answer <> '{T.FAILED}') AS answered, count(*) FILTER (answer = '{T.FAILED}') AS failed FROM bank GROUP BY ex_type",
+    "question_rewrite": f"""WITH {_BANK}, c AS (SELECT qa_id, question, concat_ws(' -> ', chapter, substr(answer, 1, 200)) AS context FROM bank WHERE question IS NOT NULL)
+SELECT qa_id, 'q_' || qa_id || '_rewritten' AS id, CASE WHEN length(context) > 50 THEN '背景：' || substr(context, 1, 100) || '...' || chr(10) || chr(10) || question ELSE question END AS text FROM c""",
+    "quality_filter": f"WITH {_BANK} SELECT qa_id FROM bank WHERE length(question) >= 50 AND NOT regexp_matches(question, '答案|提示|参考') AND NOT regexp_matches(coalesce(title, ''), '^\\s*[0-9.]+\\s*$')",
+    "delimited_titles": f"WITH {_ROWS} SELECT id, array_to_string(regexp_extract_all('x ###`' || coalesce(title, '-') || '`### y ###`' || id || '`###', '###`([^`]+)`###', 1), '|') AS titles FROM rows",
 }

@@ -100,3 +100,9 @@ def test_replies(spark):
     assert all(r["d"]["recommend_qa_bank"] is False and r["d"]["detected_concepts"] == [] for r in rows)
     settings = {"llm": {"use": "a", "provider": {"a": [{"model": "m", "x": None}]}}}
     assert configured(settings, "llm", temperature=0.1) == {"model": "m", "temperature": 0.1}
+
+
+def test_subproblems():
+    assert A.ordered_subproblems({"c": ["a", "b"], "a": [], "b": ["a"], "d": ["x"]}) == [["a", "d"], ["b"], ["c"]]
+    with pytest.raises(ValueError):
+        A.ordered_subproblems({"a": ["b"], "b": ["a"]})
