@@ -45,12 +45,15 @@ def bm25(docs: DataFrame, asks: DataFrame, k: int = 10, k1: float = 1.5, b: floa
 
     A token that a query repeats counts as often. Queries meet postings by token; only matching documents are scored.
     """
-    tf, dl = postings(docs), document_lengths(docs)
-    average = dl.agg(F.avg("dl").alias("avgdl"))
+    average = document_lengths(docs).agg(F.avg("dl").alias("avgdl"))
+    # a posting carries its document's length, so that what is matched needs no further join
+    listed = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("tok"))
+    tf = listed.groupBy("id", "dl", "tok").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(average))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     wanted = asks.select("qid", F.explode(tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
-    weighted = wanted.join(bm25_idf(docs, epsilon), "tok")
-    hits = weighted.join(tf, "tok").join(dl, "id").crossJoin(F.broadcast(average))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighted = wanted.join(bm25_idf(docs, epsilon), "tok").select("qid", "tok", (F.col("qtf") * F.col("idf")).alias("v"))
+    hits = weighted.join(tf.select("id", "tok", weight.alias("w")), "tok")
+    part = F.col("v") * F.col("w")
     scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, "qid", k)
 
