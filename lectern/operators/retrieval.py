@@ -127,6 +127,36 @@ def valid(vectors: DataFrame, dim: int = 96) -> DataFrame:
     return vectors.where((F.size("v") == dim) & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.first("v").alias("v"))
 
 
+def best_of_batch(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, cells: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in ``q`` and ``x`` and the squared distance of the ``k`` best rows of each query, by (distance rounded
+    to 6 decimals, id ``own``).
+
+    The distances by matrix product only bound the search: every row that rounding may bring to the k-th distance or
+    below is compared exactly, however many tie there. At most about ``cells`` distances are held at once.
+    """
+    xx = (x**2).sum(1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step, pairs = max(1, cells // max(1, len(x))), max(1, cells // 10)
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        qq = (part**2).sum(1)
+        d = qq[:, None] + xx[None] - 2 * part @ x.T
+        if k < len(x):
+            # a row of the same rounded distance is at most 1e-6 farther; the rest is for the product's rounding
+            bound = np.partition(d, k - 1, 1)[:, k - 1] + 2e-6 + 1e-11 * (qq + np.fmax.reduce(xx))
+            a, b = np.nonzero(~(d > bound[:, None]))
+        else:
+            a, b = np.indices(d.shape).reshape(2, -1)
+        exact = [((part[a[i : i + pairs]] - x[b[i : i + pairs]]) ** 2).sum(1) for i in range(0, len(a), pairs)]
+        e = np.round(np.concatenate([np.zeros(0), *exact]), 6)
+        order = np.lexsort((own[b], e, a))
+        a, b, e = a[order], b[order], e[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        found.append((a[keep] + at, b[keep], e[keep]))
+    a, b, e = (np.concatenate(c) for c in zip(*found, strict=True))
+    return a, b, e
+
+
 def nearest(vectors: DataFrame, asks: DataFrame, k: int = 10, block: int = 4_000) -> DataFrame:
     """``qid, id, dist, rank``: exact squared L2 distances of the queries (qid, v) to all ``vectors`` (id, v).
 
@@ -151,13 +181,8 @@ def nearest(vectors: DataFrame, asks: DataFrame, k: int = 10, block: int = 4_000
             for batch in batches:
                 x = np.array(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
                 own = batch.column(0).to_numpy()
-                d = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
-                # a few more than k: rounding may change the order of near ties
-                keep = min(k + 8, d.shape[1])
-                near = np.argpartition(d, keep - 1, 1)[:, :keep]
-                rows = np.repeat(np.arange(len(ids)), keep)
-                exact = ((q[rows] - x[near.ravel()]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(own[near.ravel()]), pa.array(np.round(exact, 6))], names=["qid", "id", "dist"])
+                rows, near, dist = best_of_batch(q, x, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(own[near]), pa.array(dist)], names=["qid", "id", "dist"])
 
         one = vectors.select("id", "v").mapInArrow(run, "qid bigint, id bigint, dist double")
         out = one if out is None else out.unionByName(one)

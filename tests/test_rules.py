@@ -140,3 +140,14 @@ def test_nearest_finds_itself(spark):
     got = R.nearest(v, v.select(F.col("id").alias("qid"), "v"), k=1).collect()
     assert len(got) == 40 and all(r["dist"] == 0 and r["id"] == r["qid"] % 35 for r in got)
     assert R.nearest(v, v.where("id < 0").select(F.col("id").alias("qid"), "v")).count() == 0
+
+
+def test_nearest_ties_go_to_the_smaller_ids(spark):
+    # 300 equal vectors with falling ids, then 60 whose distances differ by less than the rounding, the farther with the smaller id
+    rows = [(1_000 - i, [1.0, 0.0]) for i in range(300)] + [(j, [5.0, 1e-5 * (60 - j)]) for j in range(60)]
+    v = spark.createDataFrame(rows, "id bigint, v array<float>").coalesce(1)
+    asks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [5.0, 0.0]), (3, [2.0, 0.0])], "qid bigint, v array<float>")
+    got = {}
+    for r in R.nearest(v, asks, k=4).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["id"], r["dist"]))
+    assert got == {1: [(i, 0.0) for i in range(701, 705)], 2: [(i, 0.0) for i in range(4)], 3: [(i, 1.0) for i in range(701, 705)]}
