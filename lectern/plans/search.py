@@ -146,6 +146,20 @@ def context_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(_sources(spark, sf_dir), "id").select("qid", "id", "rank", line.alias("source"), prefix(F.col("content"), 500).alias("snippet"))
 
 
+def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered context of every query, uncut: book, path titles and the whole text of the hits of BM25 and of
+    keywords, each chunk once."""
+    c, a = chunks(spark, sf_dir), asks(spark, sf_dir)
+    j = R.keyword_overlap(c, a).select("qid", "id", F.round("jac", 6).alias("score"))
+    hits = R.fused(R.bm25(c, a), R.top(j, "qid", 10))
+    raw = table(spark, sf_dir, "refined_document_chunks").where(F.col("content").isNotNull())
+    book = F.coalesce(F.nullif(F.trim(F.col("metadata")["title"]), F.lit("")), F.lit("未知来源"))
+    titles = F.coalesce(F.array_join("path_titles", " > "), F.lit(""))
+    sources = raw.select(F.col("chunk_id").alias("id"), book.alias("book"), titles.alias("titles"), "content").distinct()
+    line = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] 《"), F.col("book"), F.lit("》 "), F.col("titles"))
+    return hits.join(sources, "id").select("qid", "id", "number", line.alias("source"), "content")
+
+
 def book_first_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The books of every query's hits in order, each with the chapter of its best hit."""
     hits = R.bm25(chunks(spark, sf_dir), asks(spark, sf_dir)).select("qid", "id", "rank").join(_sources(spark, sf_dir), "id")
@@ -226,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_idf, corpus_df, term_freq, doc_length_stats, keyword_freq, knn_l2_topk, knn_argmin, tfidf_idf, tfidf_cosine_topk, jaccard_topk, answer_relevance, hybrid_search,
-        hybrid_search_chapter, suggestions, merge_dedup_retrievers, best_score_merge, context_numbering, book_first_chapter, query_keywords,
+        hybrid_search_chapter, suggestions, merge_dedup_retrievers, best_score_merge, context_numbering, context_whole, book_first_chapter, query_keywords,
     )
 }
 
@@ -259,6 +273,11 @@ SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, id) AS numbe
 SELECT qid, id, max(score) AS score FROM (SELECT qid, id, score FROM bm25 UNION ALL SELECT qid, id, score FROM topj) GROUP BY qid, id""",
     "context_numbering": f"""WITH {_BANK}, {_CHUNKS}, {_BM25}, {_SOURCES}
 SELECT qid, id, rank, '[' || rank || '] 《' || book || '》-' || title AS source, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END AS snippet FROM bm25 JOIN sources USING (id)""",
+    "context_whole": f"""WITH {_BANK}, {_CHUNKS}, {_BM25}, {_overlap('jac', 'docs', 'text')}, {_TOP_J},
+every AS (SELECT qid, id, 0 AS s, rank FROM bm25 UNION ALL SELECT qid, id, 1, rank FROM topj),
+fused AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, id) AS number FROM (SELECT qid, id, min(s * 1000 + rank) AS place FROM every GROUP BY qid, id)),
+whole AS (SELECT DISTINCT chunk_id AS id, coalesce(nullif(trim(metadata['title']), ''), '未知来源') AS book, coalesce(array_to_string(path_titles, ' > '), '') AS titles, content FROM refined_document_chunks WHERE content IS NOT NULL)
+SELECT qid, id, number, '[' || number || '] 《' || book || '》 ' || titles AS source, content FROM fused JOIN whole USING (id)""",
     "book_first_chapter": f"""WITH {_BANK}, {_CHUNKS}, {_BM25}, {_SOURCES}
 SELECT qid, book, min(rank) AS first_rank, arg_min(chapter, rank) AS chapter FROM bm25 JOIN sources USING (id) GROUP BY qid, book""",
     "query_keywords": f"""WITH {_BANK}, {_QUESTIONS}, t AS (SELECT id, {_tok('text')} AS l FROM docs),

@@ -36,3 +36,11 @@ def test_query_equals_sql(spark, tiny, con, name):
 
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.SQL)
+
+
+def test_context_whole_is_uncut(spark, tiny):
+    rows = registry.QUERIES["context_whole"](spark, tiny).collect()
+    texts = {(r["chunk_id"], r["content"]) for r in spark.read.parquet(f"{tiny}/refined_document_chunks.parquet").select("chunk_id", "content").collect()}
+    assert all((r["id"], r["content"]) in texts for r in rows) and max(len(r["content"]) for r in rows) > 500
+    bm25 = {(r["qid"], r["id"]) for r in registry.QUERIES["context_numbering"](spark, tiny).collect()}
+    assert bm25 < {(r["qid"], r["id"]) for r in rows}
