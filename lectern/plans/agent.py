@@ -50,8 +50,8 @@ def executed(steps: DataFrame, chunks: DataFrame, vectors: DataFrame | None, cli
 
 
 def synthesized(asks: DataFrame, evidence: DataFrame, chunks: DataFrame, client: Client) -> DataFrame:
-    """``qid, answer, used``: replies with their citations renumbered; missing citations count as all evidence."""
-    lines = evidence.join(chunks, "id").select("qid", "number", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.substring("text", 1, 500)).alias("line"))
+    """``qid, answer, used``: replies to the whole text of all evidence, with their citations renumbered; missing citations count as all evidence."""
+    lines = evidence.join(chunks, "id").select("qid", "number", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), "text").alias("line"))
     context = lines.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n").alias("context"), F.max("number").alias("n"))
     asked = asks.join(context, "qid", "left").withColumn("prompt", F.concat_ws("\n", "query", "context"))
     reply = parsed(F.col("reply"), "answer string, citations array<int>, missing array<string>")

@@ -106,3 +106,14 @@ def test_subproblems():
     assert A.ordered_subproblems({"c": ["a", "b"], "a": [], "b": ["a"], "d": ["x"]}) == [["a", "d"], ["b"], ["c"]]
     with pytest.raises(ValueError):
         A.ordered_subproblems({"a": ["b"], "b": ["a"]})
+
+
+def test_evidence_is_whole(spark):
+    class LastWord(OfflineClient):
+        def complete(self, prompt: str) -> str:
+            return '{"answer": "%s", "citations": [1], "missing": []}' % prompt.split()[-1]
+
+    chunks = spark.createDataFrame([(1, "word " * 400 + "end")], "id bigint, text string")
+    asks = spark.createDataFrame([(7, "q")], "qid bigint, query string")
+    evidence = spark.createDataFrame([(7, 1, 1)], "qid bigint, number int, id bigint")
+    assert A.synthesized(asks, evidence, chunks, LastWord()).first()["answer"] == "end"
