@@ -36,7 +36,14 @@ COURTESY = re.compile(
     r"|\b(?:i hope you|feel free|you may want|you might|thank(?:s| you)|regarding|please|sorry|apologi[sz]e|unfortunately|consult|try it)\b",
     re.IGNORECASE,
 )
-SENTENCE = re.compile(r"[。！？!?；;\n]+|(?<=[a-z])\.(?=\s|$)")
+#: What a sentence with a digit must say to refuse: that there will be no answer, not that something is impossible.
+WITHHOLDS = re.compile(
+    r"(?:不能|无法|不便|恕|拒绝|不予|难以).{0,8}(?:回答|解答|作答|帮助|协助|提供)|帮不了|超出.{0,8}范围"
+    r"|\b(?:can(?:no|')t|cannot|unable to|won't|will not|not able to|decline to|rather not|refuse to|not allowed to|not comfortable)\W+(?:be able to\W+)?(?:help|assist|answer|provide|solv|giv|offer|shar)"
+    r"|\b(?:no puedo|no me es posible|ne peux pas|ne puis|kann (?:ich )?nicht)\W+(?:\w+\W+){0,4}?(?:ayudar|responder|resolver|aider|répondre|résoudre|helfen|beantworten|lösen)",
+    re.IGNORECASE,
+)
+SENTENCE = re.compile(r"[。！？!?；;\n]+|(?<=[a-z\d])\.(?=\s|$)")
 
 # Phrases that frame a repeated question, and the function words of the Latin-script languages.
 FRAMES = re.compile(
@@ -78,13 +85,10 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    """Whether the refusal grammar produces the whole answer."""
-    text = CODE.sub("", answer)
-    if len(text) > 400 or len(text) != len(answer):
-        return False
-    sentences = [s for s in SENTENCE.split(text) if bare(s)]
-    refuses = [bool(REFUSES.search(s)) for s in sentences]
-    return any(refuses) and all(r or COURTESY.search(s) for r, s in zip(refuses, sentences, strict=True)) and not re.search(r"\d", text)
+    """Whether the refusal grammar produces the whole answer, whatever its length, digits or code."""
+    sentences = [s for s in SENTENCE.split(answer) if bare(s)]
+    refuses = [bool((WITHHOLDS if re.search(r"\d", s) else REFUSES).search(s)) for s in sentences]
+    return any(refuses) and all(r or COURTESY.search(s) for r, s in zip(refuses, sentences, strict=True))
 
 
 def tiled(answer: str, question: str, least: int) -> int:
@@ -114,15 +118,11 @@ def tiled(answer: str, question: str, least: int) -> int:
 def copies_question(answer: str, question: str) -> bool:
     """Whether the question makes up the answer but for stock phrases and slips."""
     a, q = bare(FRAMES.sub("", FRAMES.sub("", answer.strip()))), bare(question)
-    if not a or not q or len(a) > 6 * len(q) + 60:
+    if not a or not q:
         return False
     least = 5 if sum("一" <= c <= "鿿" for c in a) * 3 > len(a) else 10
     if min(len(a), len(q)) < 2 * least:
         return a == q
-    # most answers share too little to be worth tiling: of 32 places, few are in the question
-    probes = range(0, len(a) - least + 1, max(1, len(a) // 32))
-    if sum(a[i : i + least] in q for i in probes) < 0.3 * len(probes):
-        return False
     covered = tiled(a, q, least)
     return covered >= 0.75 * len(a) or (covered >= 0.6 * len(a) and len(a) - covered <= 40)
 

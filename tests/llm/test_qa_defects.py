@@ -41,3 +41,16 @@ def test_rows(spark):
 def test_query_runs(spark, tiny):
     kinds = {r["defect"] for r in p4_found(spark, tiny).collect()}
     assert kinds <= {"empty", "truncated", "refusal", "copies_question", "other_language"} and len(kinds) >= 3
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "expected"),
+    [
+        (ASK, "I cannot help with exercise 3.2-1.", "refusal"), (ASK, "I'm sorry, but I am unable to answer question 4. Please consult chapter 12.", "refusal"), (ZH, "抱歉，我无法回答第3题。", "refusal"),
+        (ASK, "Unfortunately, I cannot help with `quicksort`.", "refusal"), (ASK, "I cannot provide a solution to this exercise; please consult your instructor. " * 8, "refusal"),
+        (ZH, "3不能整除7。", None), (ASK, "The heap cannot hold 8 keys.", None), (ASK, "I cannot help but use code:\n```\nfor i in keys: visit(i)\n```", None),
+        (ASK, ASK * 9, "copies_question"), (ASK, "; ".join([ASK] * 12), "copies_question"),
+    ],
+)
+def test_every_sentence_and_place_is_judged(question, answer, expected):
+    assert defect(question, answer) == expected
