@@ -14,11 +14,11 @@ from pyspark.sql.window import Window
 from lectern.functions.text import jaccard, keywords, tokens
 
 
-def top(df: DataFrame, by: str, k: int, score: str = "score", tie: str = "id", ascending: bool = False) -> DataFrame:
-    """The ``k`` best rows for each ``by`` with their ``rank``; ties go to the smaller ``tie``."""
+def top(df: DataFrame, by: str, k: int | None, score: str = "score", tie: str = "id", ascending: bool = False) -> DataFrame:
+    """The ``k`` best rows for each ``by`` with their ``rank``, or all; ties go to the smaller ``tie``."""
     order = F.asc(score) if ascending else F.desc(score)
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, F.asc(tie))))
-    return ranked.where(F.col("rank") <= k)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def bm25_idf(docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, asks: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """``qid, id, score, rank``: the best ``k`` documents for each query of ``asks`` (qid, query).
+def bm25(docs: DataFrame, asks: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """``qid, id, score, rank``: the best ``k`` documents, or all that match, for each query of ``asks`` (qid, query).
 
     A token that a query repeats counts as often. Queries meet postings by token; only matching documents are scored.
     """
@@ -161,11 +161,13 @@ def nearest(vectors: DataFrame, asks: DataFrame, k: int = 10, block: int = 4_000
     """``qid, id, dist, rank``: exact squared L2 distances of the queries (qid, v) to all ``vectors`` (id, v).
 
     The queries are taken in blocks of a bounded size, each sent to all partitions; a partition keeps its own ``k``
-    best of each query, so little is shuffled.
+    best of each query, so little is shuffled. If ``asks`` has a column ``k``, its largest counts.
     """
     spark = vectors.sparkSession
     total = asks.count()
     parts = max(1, math.ceil(total / block))
+    if "k" in asks.columns:
+        k = max(1, asks.agg(F.max("k")).first()[0] or 1)
     numbered = asks.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)))
     out = None
     for p in range(parts):

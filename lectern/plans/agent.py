@@ -39,11 +39,11 @@ def executed(steps: DataFrame, chunks: DataFrame, vectors: DataFrame | None, cli
     search = steps.where(F.col("query").isNotNull()).withColumn("step", F.concat_ws(":", "qid", "step_id"))
     most = F.coalesce("top_k", F.lit(10))
     words = search.where("action = 'bm25_search'")
-    hits = bm25(chunks, words.select(F.col("step").alias("qid"), "query"), k=50).withColumnRenamed("qid", "step").join(words.select("step", "qid", "step_id", most.alias("most")), "step")
+    hits = bm25(chunks, words.select(F.col("step").alias("qid"), "query"), k=None).withColumnRenamed("qid", "step").join(words.select("step", "qid", "step_id", most.alias("most")), "step")
     found = hits.where(F.col("rank") <= F.col("most")).select("qid", "step_id", "rank", "id")
     if vectors is not None:
         near = search.where("action = 'vector_search'").select("qid", "step_id", most.alias("most"), embedded(F.col("query"), client).alias("v")).withColumn("ask", F.xxhash64("qid", "step_id"))
-        close = nearest(vectors, near.select(F.col("ask").alias("qid"), "v"), k=50).withColumnRenamed("qid", "ask").join(near.drop("v"), "ask")
+        close = nearest(vectors, near.select(F.col("ask").alias("qid"), "v", F.col("most").alias("k"))).withColumnRenamed("qid", "ask").join(near.drop("v"), "ask")
         found = found.unionByName(close.where(F.col("rank") <= F.col("most")).select("qid", "step_id", "rank", "id"))
     first = found.groupBy("qid", "id").agg(F.min(F.struct("step_id", "rank")).alias("at"))
     return first.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("at", "id")).alias("number"))

@@ -117,3 +117,11 @@ def test_evidence_is_whole(spark):
     asks = spark.createDataFrame([(7, "q")], "qid bigint, query string")
     evidence = spark.createDataFrame([(7, 1, 1)], "qid bigint, number int, id bigint")
     assert A.synthesized(asks, evidence, chunks, LastWord()).first()["answer"] == "end"
+
+
+def test_steps_get_as_many_as_they_ask_for(spark):
+    client = OfflineClient()
+    chunks = spark.createDataFrame([(i, f"tree w{i}") for i in range(80)], "id bigint, text string")
+    steps = spark.createDataFrame([(1, 1, "bm25_search", "tree", 70), (2, 1, "vector_search", "tree", 60), (3, 1, "vector_search", "tree", None)], "qid bigint, step_id int, action string, query string, top_k int")
+    vectors = chunks.select("id", embedded(F.col("text"), client).alias("v"))
+    assert {r["qid"]: r["count"] for r in A.executed(steps, chunks, vectors, client).groupBy("qid").count().collect()} == {1: 70, 2: 60, 3: 10}
