@@ -50,3 +50,13 @@ def test_recall_on_tables(spark, tiny):
     got = {(r["chunk_a"], r["chunk_b"]) for r in p1_found(spark, tiny).collect()}
     assert len(got & true) >= 0.95 * len(true) and len(got - true) <= 0.01 * len(got)
     assert got and pytest.approx(1, abs=0.06) == len(got) / len(true)
+
+
+def test_recall_with_many_cells(spark, tiny):
+    tiny = tiny.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{tiny}/chunk_vectors.parquet").where((F.size("embedding") == 96) & F.exists("embedding", lambda x: x != 0)).dropDuplicates(["chunk_id"]).collect()
+    ids, x = [r["chunk_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float32)
+    true = {(min(a, b), max(a, b)) for a, bs in brute(ids, x).items() for b in bs}
+    got = {(r["chunk_a"], r["chunk_b"]) for r in neighbour_pairs(nearest_vectors(spark.read.parquet(f"{tiny}/chunk_vectors.parquet"), cell_rows=100)).collect()}
+    print("many cells:", len(rows), len(true), len(got & true), len(got))
+    assert len(got & true) >= 0.95 * len(true)
