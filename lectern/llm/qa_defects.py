@@ -1,9 +1,9 @@
 """Defective question-answer pairs, each with one type of defect.
 
 The types are tried in this order: ``empty`` (nothing but placeholders or headings), ``refusal`` (every sentence is
-produced by a refusal grammar), ``copies_question`` (greedy string tiling covers the answer with the question),
-``other_language`` (scripts and function words), ``truncated`` (a pushdown parser of fences, brackets, quotations,
-lists and markup ends inside something, or the text ends without an end mark).
+produced by a refusal grammar), ``copies_question`` (tiles of the question cover the answer from left to right),
+``other_language`` (scripts and function words), ``truncated`` (a pushdown parser of fences, and of the last line's
+brackets, quotations and markup, ends inside something, or the text ends without an end mark).
 """
 
 from __future__ import annotations
