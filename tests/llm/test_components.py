@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -38,3 +39,9 @@ def test_groups(spark):
     rows = [("q", 1, long), ("q", 2, long.replace("old ", "")), ("q", 3, long), ("q", 4, "entirely different words about hash tables, search trees, priority queues and nothing else in particular at all")]
     got = {r["id"]: r["group_id"] for r in near_duplicates(spark.createDataFrame(rows, "tbl string, id bigint, text string")).groups().collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_unsettled_rounds_raise(spark):
+    rows = [("t", i, i + 1) for i in range(40)]
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(rows, SCHEMA), most_rounds=2)
