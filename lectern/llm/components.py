@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut_lineage
+from lectern.llm.common import cut_lineage, discard
 
 
 def components(links: DataFrame, by: str = "tbl", most_rounds: int | None = None) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, by: str = "tbl", most_rounds: int | None = None
         large = both.where("v > u").join(low, [by, "u"]).select(by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(by, "u").agg(F.min("v").alias("m"))
         rest = large.join(least, [by, "u"]).where("v <> m").select(by, F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(rest.unionByName(least.select(by, "u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, cut_lineage(rest.unionByName(least.select(by, "u", F.col("m").alias("v"))).distinct())
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64(by, "u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
