@@ -92,13 +92,13 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """The index of several strings, each with a label (its document).
+    """The index of several strings, each with a label (its document); one of ``several`` stands under other labels, too.
 
     The suffixes of a string end at the string's own separator, so every two differ. Only the wavelet matrix of the
     Burrows-Wheeler transform, the symbol counts, the common prefixes and the labels' changes are kept.
     """
 
-    def __init__(self, points: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, ends: np.ndarray, labels: np.ndarray, several: np.ndarray) -> None:
         self.starts = ends[:-1] + np.arange(len(ends) - 1)
         count = len(ends) - 1
         self.alphabet, compact = np.unique(points, return_inverse=True)
@@ -116,10 +116,13 @@ class FmIndex:
         sizes = np.bincount(self.text, minlength=len(self.alphabet) + 1)
         self.first = np.concatenate(([0], np.cumsum(sizes)))
         self.wavelet = WaveletMatrix(self.text[order - 1], len(self.alphabet) + 1)
-        row_label = labels[np.searchsorted(stops, order)]
-        change = np.flatnonzero(row_label[1:] != row_label[:-1]) + 1
-        # the next row with another label, and the nearest rows with a smaller common prefix on both sides
-        self.other = np.concatenate((change, [n]))[np.searchsorted(change, np.arange(n), "right")]
+        row = np.repeat(np.arange(count), np.diff(ends) + 1)[order]
+        row_label, twofold = labels[row], several[row]
+        change = np.flatnonzero((row_label[1:] != row_label[:-1]) | twofold[1:]) + 1
+        # up to which row there is one label alone (one of several labels is no such row itself), and the nearest rows
+        # with a smaller common prefix on both sides
+        self.other = np.repeat(np.append(change, n), np.diff(np.concatenate(([0], change, [n]))))
+        self.other[twofold] = np.flatnonzero(twofold)
         self.before = smaller_before(self.common)
         self.after = len(self.common) - 1 - smaller_before(self.common[::-1])[::-1]
         self.n = n

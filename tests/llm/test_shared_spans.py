@@ -34,12 +34,15 @@ def brute(docs, least):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.text("ab中", min_size=1, max_size=25), st.integers(0, 3)), min_size=1, max_size=6))
+@given(st.lists(st.tuples(st.text("ab中", min_size=1, max_size=25), st.integers(0, 3), st.booleans()), min_size=1, max_size=6))
 def test_matching_statistics(strings):
-    points, ends = code_points([s for s, _ in strings])
-    index = FmIndex(points, ends, np.array([k for _, k in strings]))
+    points, ends = code_points([s for s, _, _ in strings])
+    index = FmIndex(points, ends, np.array([k for _, k, _ in strings]), np.array([m for _, _, m in strings]))
     got = index.matching_statistics(np.arange(len(strings)), np.diff(ends), 0)
-    expected = [max((m for m in range(len(s) - i + 1) if m and any(s[i : i + m] in t for t, other in strings if other != k)), default=0) for s, k in strings for i in range(len(s))]
+    # a string of several labels matches all others, and itself
+    expected = [
+        max((m for m in range(len(s) - i + 1) if m and any(s[i : i + m] in t for t, other, several in strings if other != k or several)), default=0)
+        for s, k, _ in strings for i in range(len(s))]
     assert got.tolist() == expected
 
 
@@ -86,6 +89,21 @@ def test_hot_anchors_take_the_exact_way(spark):
     check(spark, documents(), hot_regions=1, shard_chars=500)
 
 
+def test_windows_by_hash_are_those_of_the_index(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    index, hashes = ({tuple(r) for r in shared_spans(docs, hot_regions=n).collect()} for n in (1 << 30, 0))
+    assert index == hashes and index
+
+
+def test_halves_keep_every_shared_window():
+    rng = random.Random(8)
+    for k in range(40):
+        span = "".join(rng.choice("abcd") for _ in range(40))
+        texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(30))) + span + "".join(rng.choice("abcd") for _ in range(rng.randrange(30))) for _ in range(2)]
+        halves = [{x for column in anchors_of(*code_points([t]), 40, 4 + k % 9)[4:] for x in column.tolist() if x} for t in texts]
+        assert halves[0] & halves[1]
+
+
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
