@@ -197,7 +197,7 @@ def search_cell(
 
 def nearest_vectors(
     df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = 5, radius: float = 0.4, dim: int = 96,
-    substrings: int = 6, flips: int = 2, margin: float = 0.1, sample_rows: int = 20_000, cell_rows: int = 8_000, flat_cells: int = 256,
+    substrings: int = 6, flips: int = 2, margin: float = 0.07, sample_rows: int = 20_000, cell_rows: int = 8_000, flat_cells: int = 256,
 ) -> DataFrame:
     """``key``, ``neighbour``, ``dist`` and ``rank``: for every key its ``k`` nearest other keys within squared
     distance ``radius``, by (distance rounded to 6 decimals, key).
