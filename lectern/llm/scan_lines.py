@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 STATES = ("body", "header", "page", "data")
@@ -29,7 +30,11 @@ SPACED = re.compile(r"^(?:\S\s+){4,}\S$")
 END = tuple("。.!！?？:：;；…")
 CJK = re.compile(r"[一-鿿]")
 LATIN = r"A-Za-zÀ-ɏﬀ-ﬆ"
-WORDS = re.compile(rf"[{LATIN}]{{2,}}")
+FIVE_CJK = re.compile(r"(?:[^一-鿿]*+[一-鿿]){5}", re.DOTALL)
+THREE_WORDS = re.compile(rf"(?:(?:[^{LATIN}]|(?<![{LATIN}])[{LATIN}](?![{LATIN}]))*+[{LATIN}]{{2,}}+){{3}}", re.DOTALL)
+NO_LETTER = re.compile(r"[\W\d_]+")
+LETTER = re.compile(rf"[{LATIN}一-鿿]")
+CAPITAL = re.compile(r"[A-Z]")
 PART = re.compile(r"\s*[(（]\s*part\s*\d+\s*[)）]\s*$", re.IGNORECASE)
 
 
@@ -42,21 +47,29 @@ class Features(NamedTuple):
     flow: int
 
 
+@lru_cache(1 << 14)
 def letters(text: str) -> str:
     """Only the letters, in lower case."""
-    return "".join(c for c in text.lower() if c.isalpha())
+    out = NO_LETTER.sub("", text.lower())
+    return out if not out or out.isalpha() else "".join(filter(str.isalpha, out))
+
+
+@lru_cache(1 << 12)
+def title_forms(name: str) -> tuple[str, ...]:
+    """The letters of a title, with and without its chapter number."""
+    return tuple(k for k in (letters(name), letters(CHAPTER.sub("", name))) if len(k) >= 2)
 
 
 def known_titles(metadata: dict[str, str] | None, path: list[str] | None, title: str | None) -> set[str]:
     """Book title, chapter, section and chunk title, reduced to letters."""
     names = [(metadata or {}).get("title"), *(path or []), PART.sub("", title or "")]
-    return {k for n in names if n for k in (letters(n), letters(CHAPTER.sub("", n))) if len(k) >= 2}
+    return {k for n in names if n for k in title_forms(n)}
 
 
 def is_prose(line: str) -> bool:
     """Whether the line holds running text: some Chinese characters or some words, and no code."""
     text = line.strip()
-    return (len(CJK.findall(text)) >= 5 or len(WORDS.findall(text)) >= 3) and not text.endswith((";", "{", "}")) and " = " not in text[:24]
+    return not text.endswith((";", "{", "}")) and " = " not in text[:24] and bool(FIVE_CJK.match(text) or THREE_WORDS.match(text))
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
@@ -92,7 +105,7 @@ def observe(lines: list[tuple[int, str]], titles: set[str]) -> list[Features]:
         page = 2 if DRESSED.fullmatch(text) else 1 if BARE.fullmatch(text) else 0
         rest = CHAPTER.sub("", text)
         title = int(bool({letters(text), letters(rest)} & titles))
-        capital = text.upper() == text and len(re.findall(r"[A-Z]", text)) >= 4
+        capital = text.upper() == text and len(CAPITAL.findall(text)) >= 4
         typography = int(bool(capital or SPACED.match(text) or NUMBER_ASIDE.search(text) or (rest != text and len(text) < 0.8 * width)))
         before = next((lines[j][1].rstrip() for j in range(k - 1, -1, -1) if is_prose(lines[j][1])), None)
         short = len(text) < 0.8 * width and not text.endswith(END[:6] + END[8:])
@@ -145,7 +158,7 @@ def label(lines: list[tuple[int, str]], seen: list[Features], model: Model) -> l
         emit = [sum(model.emit[i][s][v] for i, v in enumerate(f)) for s in states]
         text = lines[k][1].strip()
         before = lines[k - 1][1].rstrip() if k else ""
-        numeric = not re.search(rf"[{LATIN}一-鿿]", text)
+        numeric = not LETTER.search(text)
         announced = numeric and (before.endswith((":", "：")) or announced)
         if announced:  # sample input and output, whatever they look like
             emit = [e if s == DATA else e - 20 for s, e in enumerate(emit)]

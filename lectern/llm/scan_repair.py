@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,29 +38,49 @@ RIGHT = re.compile(rf"\s*([{LATIN}0-9]+(?:[-'’][{LATIN}0-9]+)*)")
 WRONG_HAN: dict[str, list[str]] = {}
 for _good, _bad in CONFUSED_HAN:
     WRONG_HAN.setdefault(_bad, []).append(_good)
-SEEN_HAN = {c for pair in CONFUSED_HAN for c in pair}
-
-
-def undone(word: str) -> list[str]:
-    """The word with one known confusion undone at one place, in every way."""
-    out = {}
-    for good, bad in CONFUSED:
-        at = word.find(bad)
-        while at >= 0:
-            out[word[:at] + good + word[at + len(bad) :]] = None
-            at = word.find(bad, at + 1)
+SEEN = re.compile("[" + "".join(sorted({c for pair in CONFUSED_HAN for c in pair})) + "]")
+WRONG = re.compile("[" + "".join(WRONG_HAN) + "]")
+LETTERED = re.compile(rf"[0-9]*[{LATIN}][{LATIN}0-9]*")
+LATIN_LETTER = re.compile(rf"[{LATIN}]")
+DIGIT = re.compile(r"\d")
+ODD = re.compile("[0-9ﬀ-ﬆ]")
+
+
+def capitals(word: str) -> int:
+    """How many letters after the first are upper case."""
+    return sum(map(str.isupper, word[1:]))
+
+
+def undone(word: str, learned: Iterable[tuple[str, str]] = (), places: int = 1) -> list[str]:
+    """The word with one confusion undone at one place, in every way; or at up to ``places`` places."""
+    out: dict[str, None] = {}
+    last = [word]
+    for _ in range(places):
+        found: dict[str, None] = {}
+        for w in last:
+            for good, bad in (*CONFUSED, *learned):
+                at = w.find(bad)
+                while at >= 0:
+                    found[w[:at] + good + w[at + len(bad) :]] = None
+                    at = w.find(bad, at + 1)
+        # capitals inside a word must have been there
+        last = [w for w in found if w not in out and w != word and (w.isupper() or capitals(w) <= capitals(word))]
+        out |= dict.fromkeys(last)
     whole = "".join(LIGATURES.get(c, c) for c in word)
     if whole != word:
         return [whole, *(v for v in out if v != whole)]
     return list(out)
 
 
-def contexts(text: str, i: int) -> tuple[str, str, str]:
-    """What is around the character: two before it, one on each side, two behind it; digits count as one another."""
-    before = ("^^" + text[max(0, i - 2) : i])[-2:]
-    after = (text[i + 1 : i + 3] + "$$")[:2]
-    shape = re.sub(r"\d", "0", before + after)
-    return "l" + shape[:2], "m" + shape[1:3], "r" + shape[2:]
+class Shapes:
+    """What is around the characters of a text: two before one, one on each side, two behind; digits count as one another."""
+
+    def __init__(self, text: str) -> None:
+        self.text = f"^^{DIGIT.sub('0', text)}$$"
+
+    def around(self, i: int) -> tuple[str, str, str]:
+        t = self.text
+        return "l" + t[i : i + 2], "m" + t[i + 1] + t[i + 3], "r" + t[i + 3 : i + 5]
 
 
 class ScanReader:
@@ -68,28 +88,31 @@ class ScanReader:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.counts: Counter[tuple[str, bool]] = Counter()
+        self.words: dict[bool, Counter[str]] = {False: Counter(), True: Counter()}
+        self.clean: Counter[str] = Counter()
         self.rows: list[tuple[int, int, int, str, str, str, str]] = []
 
+    def counts(self) -> Iterator[tuple[str, str, int]]:
+        """``sort, item, number``."""
+        for scanned, words in self.words.items():
+            yield from (("scan" if scanned else "clean", "w" + w, n) for w, n in words.items())
+        yield from (("clean", item, n) for item, n in self.clean.items())
+
     def count(self, text: str, scanned: bool) -> None:
-        for m in SEGMENT.finditer(text):
-            if not m[0].isdigit():
-                self.counts["w" + m[0].lower(), scanned] += 1
-        if not scanned:
-            for i, c in enumerate(text):
-                if c in SEEN_HAN:
-                    self.counts["u" + c, False] += 1
-                    for k in contexts(text, i):
-                        self.counts[k + c, False] += 1
+        self.words[scanned].update(map(str.lower, LETTERED.findall(text)))
+        if not scanned and (some := SEEN.search(text)):
+            shapes = Shapes(text)
+            for m in SEEN.finditer(text, some.start()):
+                self.clean.update(("u" + m[0], *(k + m[0] for k in shapes.around(m.start()))))
 
     def chunk(self, key: int, content: str, metadata: dict[str, str] | None, path: list[str] | None, title: str | None) -> None:
         lines = lines_of(content)
-        for name in known_titles(metadata, path, None):
-            self.counts["t" + name, False] += 1
+        self.clean.update("t" + name for name in known_titles(metadata, path, None))
         if not is_scanned(lines):
             self.count(content, False)
             return
-        seen = observe(lines, known_titles(metadata, path, title))
+        titles = known_titles(metadata, path, title)
+        seen = observe(lines, titles)
         body: list[tuple[int, str]] = []
         for (i, line), f, state in zip(lines, seen, label(lines, seen, self.model), strict=True):
             if state == BODY:
@@ -101,7 +124,7 @@ class ScanReader:
         cut = [line for _, line in body]
         for k in range(len(body) - 1):
             left, right = LEFT.search(cut[k]), RIGHT.match(body[k + 1][1])
-            if left and right and re.search(rf"[{LATIN}]", left[1]) and re.search(rf"[{LATIN}]", right[1]):
+            if left and right and LATIN_LETTER.search(left[1]) and LATIN_LETTER.search(right[1]):
                 self.rows.append((key, body[k][0], 0, "hyphen", "", left[1], right[1]))
                 # neither part is a word; blanks keep the columns
                 cut[k] = cut[k][: left.start()]
@@ -111,14 +134,17 @@ class ScanReader:
             line = cut[k].strip()
             indent = cut[k].find(line) if line else 0
             for m in TOKEN.finditer(line):
-                for s in SEGMENT.finditer(m[0]):
-                    if len(s[0]) >= 3 and re.search(rf"[{LATIN}]", s[0]):
-                        self.rows.append((key, i, indent + m.start(), "word", m[0], s[0], ""))
+                token = m[0]
+                for s in SEGMENT.findall(token) if "-" in token or "'" in token or "’" in token else (token,):
+                    if len(s) >= 3 and not s.isdigit():
+                        self.rows.append((key, i, indent + m.start(), "word", token, s, ""))
             self.count(line, True)
-            places += [(i, indent + j, len(text) + j) for j, c in enumerate(line) if c in WRONG_HAN]
+            places += [(i, indent + m.start(), len(text) + m.start()) for m in WRONG.finditer(line)]
             text += line
-        for i, col, at in places:
-            self.rows.append((key, i, col, "han", text[at], "\n".join(contexts(text, at)), ""))
+        if places:
+            shapes = Shapes(text)
+            for i, col, at in places:
+                self.rows.append((key, i, col, "han", text[at], "\n".join(shapes.around(at)), ""))
 
 
 READ = "id bigint, line int, col int, kind string, piece string, left string, right string, n bigint"
@@ -136,7 +162,7 @@ def read_chunks(chunks: DataFrame, model: Model) -> DataFrame:
             for key, content, metadata, path, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader.chunk(key, content, dict(metadata) if metadata else None, path, title)
             rows = [(*r, None) for r in reader.rows]
-            rows += [(None, None, None, "scan" if s else "clean", item, None, None, n) for (item, s), n in reader.counts.items()]
+            rows += [(None, None, None, sort, item, None, None, n) for sort, item, n in reader.counts()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -157,30 +183,74 @@ def fitted_model(chunks: DataFrame, sample_rows: int) -> Model:
     return train(seen) if seen else FIRST
 
 
-def answered_words(rows: DataFrame, clean: DataFrame, scan: DataFrame) -> DataFrame:
-    """``id, line, col, kind, old, piece`` of the misread words: only scans have the word, clean text has another."""
+def learned_confusions(clean: DataFrame, scan: DataFrame, support: int = 5, surplus: int = 3) -> list[tuple[str, str]]:
+    """``good, bad``: what recognition makes of a letter or two, learned from the words of the whole corpus.
+
+    A word that only scans have is held against the words of clean text that differ from it in one place, by one letter
+    there or one for two, and are 20 times as frequent. Of several such substitutions a word shows the one that most
+    words have. It is a confusion if at least ``support`` different words of scans show it, and ``surplus`` times as many
+    as rare words of clean text, which differ from frequent ones by chance. Only words of 4 to 40 letters teach. At most the pairs of letters come to the
+    driver, not words.
+    """
+    clean = clean.where(F.col("item").startswith("w")).select(F.expr("substr(item, 2)").alias("w"), "n")
+    scan = scan.where(F.col("item").startswith("w")).select(F.expr("substr(item, 2)").alias("w"), "n")
+    only = scan.join(clean, "w", "left_anti").withColumn("scan", F.lit(True))
+    rare = clean.where("n <= 2").join(scan, "w", "left_anti").withColumn("scan", F.lit(False))
+    frequent = clean.where("n >= 20").withColumn("scan", F.lit(False))
+    schema = "hole string, part string, w string, n bigint, scan boolean"
+
+    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            out = [(f"{w[:i]}_{w[i + k :]}", w[i : i + k], row) for row, w in enumerate(words) for k in (1, 2) for i in range(len(w) - k + 1)]
+            hole, part, row = zip(*out, strict=True) if out else ((), (), ())
+            own = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(hole, pa.string()), pa.array(part, pa.string()), *own.columns], names=list(names))
+
+    def holed(words: DataFrame) -> DataFrame:
+        return words.where(F.char_length("w").between(4, 40)).select("w", "n", "scan").mapInArrow(holes, schema)
+
+    good = holed(frequent).select("hole", F.col("part").alias("good"), F.col("n").alias("often"))
+    bad = holed(only.unionByName(rare)).withColumnRenamed("part", "bad")
+    fits = (F.col("often") >= 20 * F.col("n")) & ~F.col("good").contains(F.col("bad")) & ~F.col("bad").contains(F.col("good")) & (F.char_length("good") + F.char_length("bad") <= 3)
+    shown = cut_lineage(bad.join(good, "hole").where(fits).select("scan", "w", "good", "bad").distinct())
+    common = shown.groupBy("good", "bad").agg(F.count(F.when(F.col("scan"), 1)).alias("words"))
+    taken = shown.join(common, ["good", "bad"]).groupBy("scan", "w").agg(F.max(F.struct("words", "good", "bad")).alias("best")).select("scan", "best.good", "best.bad")
+    counted = taken.groupBy("good", "bad").agg(F.count(F.when(F.col("scan"), 1)).alias("scans"), F.count(F.when(~F.col("scan"), 1)).alias("rare"))
+    found = counted.where((F.col("scans") >= support) & (F.col("scans") >= surplus * F.col("rare"))).select("good", "bad").collect()
+    return sorted((r["good"], r["bad"]) for r in found if (r["good"], r["bad"]) not in CONFUSED)
+
+
+def answered_words(rows: DataFrame, clean: DataFrame, scan: DataFrame, learned: list[tuple[str, str]]) -> DataFrame:
+    """``id, line, col, kind, old, piece`` of the misread words: only scans have the word, clean text has another.
+
+    One confusion is undone in a word, two in one that shows by a digit or ligature that it is misread.
+    """
     words = rows.where("kind = 'word'")
-    distinct = words.select(F.col("left").alias("w")).distinct()
+    distinct = words.select(F.col("left").alias("w")).distinct().withColumn("item", F.concat(F.lit("w"), F.lower("w")))
+    most = clean.where(F.col("item").startswith("w")).agg(F.max("n").alias("most"))
+    own = distinct.join(clean.withColumnRenamed("n", "bad"), "item", "left").join(scan.withColumnRenamed("n", "scans"), "item", "left").fillna(0, ["bad", "scans"])
+    odd, ligature = F.col("w").rlike("[0-9ﬀ-ﬆ]"), F.col("w").rlike("[ﬀ-ﬆ]")
+    # no word can be frequent enough to be right instead of those that are left out here
+    own = own.crossJoin(F.broadcast(most)).where(ligature | ((F.col("most") >= 200 * F.col("bad")) & (odd | (F.col("most") >= 3 * F.col("scans"))))).select("w", "bad", "scans")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(w, v) for w in batch.column(0).to_pylist() for v in undone(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["w", "v"])
+            pairs = [(w, b, n, v) for w, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) for v in undone(w, learned, 2 if ODD.search(w) else 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["w", "bad", "scans", "v"])
 
-    asked = distinct.mapInArrow(variants, "w string, v string")
+    asked = own.mapInArrow(variants, "w string, bad bigint, scans bigint, v string")
     known = asked.withColumn("item", F.concat(F.lit("w"), F.lower("v"))).join(clean, "item", "left").fillna(0, ["n"]).withColumnRenamed("n", "good").drop("item")
-    own = known.withColumn("item", F.concat(F.lit("w"), F.lower("w"))).join(clean, "item", "left").withColumnRenamed("n", "bad")
-    own = own.join(scan.withColumnRenamed("n", "scans"), "item", "left").fillna(0, ["bad", "scans"])
-    odd, ligature = F.col("w").rlike("[0-9ﬀ-ﬆ]"), F.col("w").rlike("[ﬀ-ﬆ]")
     likely = (F.col("good") >= F.when(odd, 1).otherwise(3)) & (F.col("good") >= 200 * F.col("bad")) & (F.col("good") >= F.when(odd, 0).otherwise(3 * F.col("scans")))
     # a ligature is never right; without better knowledge it is written out
     sure = likely | (ligature & ~F.col("v").rlike("[ﬀ-ﬆ]"))
-    best = own.where(sure).groupBy("w").agg(F.max_by("v", F.struct("good", "v")).alias("v"))
+    best = known.where(sure).groupBy("w").agg(F.max_by("v", F.struct("good", "v")).alias("v"))
     found = words.join(best, words["left"] == best["w"])
     return found.select("id", "line", "col", F.lit("misread").alias("kind"), F.col("piece").alias("old"), F.replace("piece", "w", "v").alias("piece"))
 
 
-def answered_breaks(rows: DataFrame, clean: DataFrame) -> DataFrame:
+def answered_breaks(rows: DataFrame, clean: DataFrame, learned: list[tuple[str, str]]) -> DataFrame:
     """``id, line, col, kind, old, piece`` of the broken words: as they must read."""
     breaks = rows.where("kind = 'hyphen'").select("left", "right").distinct()
 
@@ -193,9 +263,9 @@ def answered_breaks(rows: DataFrame, clean: DataFrame) -> DataFrame:
                 out.append((left, right, "joined", (a + b).lower(), head + a + b + tail))
                 out.append((left, right, "first", a.lower(), f"{left}-{right}"))
                 out.append((left, right, "second", b.lower(), f"{left}-{right}"))
-                out += [(left, right, "variant", v.lower(), head + v + tail) for v in undone(a + b)]
-                out += [(left, right, "first variant", v.lower(), f"{head}{v}-{right}") for v in undone(a)]
-                out += [(left, right, "second variant", v.lower(), f"{left}-{v}{tail}") for v in undone(b)]
+                out += [(left, right, "variant", v.lower(), head + v + tail) for v in undone(a + b, learned)]
+                out += [(left, right, "first variant", v.lower(), f"{head}{v}-{right}") for v in undone(a, learned)]
+                out += [(left, right, "second variant", v.lower(), f"{left}-{v}{tail}") for v in undone(b, learned)]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(5)], names=["left", "right", "role", "word", "form"])
 
     asked = breaks.mapInArrow(forms, "left string, right string, role string, word string, form string")
@@ -264,9 +334,10 @@ def scan_noise(df: DataFrame, key: str = "chunk_id", text: str = "content", samp
     counts = cut_lineage(counts)
     clean, scan = counts.where("kind = 'clean'").select("item", "n"), counts.where("kind = 'scan'").select("item", "n")
     found = rows.where("kind in ('header', 'page_number')").select("id", "line", "col", "kind", F.col("piece").alias("old"), "piece")
-    titles = rows.where("kind = 'title'").join(clean.where(F.col("item").startswith("t")).select(F.substring("item", 2, 1_000).alias("left")), "left")
+    titles = rows.where("kind = 'title'").join(clean.where(F.col("item").startswith("t")).select(F.expr("substr(item, 2)").alias("left")), "left")
     found = found.unionByName(titles.select("id", "line", "col", F.lit("header").alias("kind"), F.col("piece").alias("old"), "piece"))
-    every = found.unionByName(answered_breaks(rows, clean)).unionByName(answered_words(rows, clean, scan)).unionByName(answered_han(rows, clean))
+    learned = learned_confusions(clean, scan)
+    every = found.unionByName(answered_breaks(rows, clean, learned)).unionByName(answered_words(rows, clean, scan, learned)).unionByName(answered_han(rows, clean))
     return every.distinct().withColumnRenamed("id", key)
 
 
