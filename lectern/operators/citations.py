@@ -22,8 +22,14 @@ def validity(text: Column, declared: Column) -> Column:
     return F.struct(((F.size(missing) == 0) & (F.size(extra) == 0)).alias("valid"), missing.alias("missing"), extra.alias("extra"))
 
 
+def renumbering(used: Column) -> Column:
+    """The new number of every used one: 1, 2, ... in ascending order, as a map."""
+    order = F.array_sort(F.array_distinct(used))
+    return F.map_from_arrays(order, F.transform(order, lambda _, i: (i + 1).cast("int")))
+
+
 def renumbered(text: Column, used: Column, both_styles: bool = False) -> Column:
-    """``text`` with the used numbers replaced by 1, 2, ... in ascending order.
+    """``text`` with the used numbers replaced by 1, 2, ... in ascending order; a mark right before a digit stays.
 
     New numbers are put in behind a mark that no text holds, so that one replacement can't meet another's result.
     """
@@ -32,7 +38,7 @@ def renumbered(text: Column, used: Column, both_styles: bool = False) -> Column:
 
     def put(t: Column, old: Column, open_: str, close: str) -> Column:
         new = F.array_position(order, old).cast("string")
-        return F.replace(t, F.concat(F.lit(open_), old.cast("string"), F.lit(close)), F.concat(F.lit(open_ + mark), new, F.lit(close)))
+        return F.regexp_replace(t, F.concat(F.lit("\\" + open_), old.cast("string"), F.lit("\\" + close + r"(?!\d)")), F.concat(F.lit(open_ + mark), new, F.lit(close)))
 
     def step(t: Column, old: Column) -> Column:
         t = put(t, old, "[", "]")
@@ -55,3 +61,12 @@ def display_sources(hits: DataFrame, sources: DataFrame) -> DataFrame:
     numbered = first.withColumn("number", F.row_number().over(Window.partitionBy("qid").orderBy("old", "id")))
     book = F.when(is_blank(F.col("book")), "未知来源").otherwise(F.col("book"))
     return numbered.join(sources, "id").select("qid", "number", "old", "id", F.concat(F.lit("《"), book, F.lit("》-"), F.coalesce("title", F.lit(""))).alias("source"))
+
+
+def formatted(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """``qid, answer, citations``: answers (qid, answer, used) renumbered in both styles, and the sources (qid, old,
+    source) of the used numbers in their new order. Answers that use none, or no known number, have an empty list."""
+    both = answers.select("qid", renumbered(F.col("answer"), F.col("used"), both_styles=True).alias("answer"), F.explode_outer(renumbering(F.col("used"))).alias("old", "number"))
+    placed = both.join(sources, ["qid", "old"], "left")
+    entry = F.when(F.col("source").isNotNull(), F.struct("number", "source"))
+    return placed.groupBy("qid", "answer").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["source"]).alias("citations"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import is_blank, strip
+from lectern.functions.text import GRAPH_STOP_WORDS, is_blank, keywords, strip
+from lectern.operators.retrieval import contained, either_contains
 
 #: Question words by which a question is routed, in the order in which they are tried.
 ROUTES = [("what_is", "什么是|什么叫|解释"), ("how_to", "如何|怎么|怎样|方法"), ("attribute", "的|有什么|包含|具有"), ("list", "有哪些|列出|列表|所有")]
@@ -99,14 +100,25 @@ def exact_matches(words: DataFrame, ents: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(words: DataFrame, ents: DataFrame) -> DataFrame:
-    """``t, name``: keyword and entity name of which one contains the other; distinct words against distinct names."""
-    near = F.col("name").contains(F.col("t")) | F.col("t").contains(F.col("name"))
-    return words.select("t").distinct().join(ents.select("name"), near).select("t", "name")
+    """``t, name``: keyword and entity name of which one contains the other."""
+    return either_contains(words, ents)
 
 
-def mentioned(asks: DataFrame, terms: DataFrame) -> DataFrame:
-    """``qid, term`` where the query contains the term."""
-    return asks.join(terms, F.col("query").contains(F.col("term"))).select("qid", "term")
+def matches(words: DataFrame, ents: DataFrame) -> DataFrame:
+    """``qid, name``: the entities that a keyword (qid, t) names exactly; where there is none, those it touches."""
+    exact = exact_matches(words, ents)
+    rest = words.join(exact.select("qid").distinct(), "qid", "left_anti")
+    return exact.unionByName(rest.join(fuzzy_matches(rest, ents), "t").select("qid", "name").distinct())
+
+
+def mentioned(asks: DataFrame, terms: DataFrame, most_sent: int = 10_000) -> DataFrame:
+    """``qid, term`` where the query contains the term. Up to ``most_sent`` terms, which are counted, are sent to all
+    queries; more of them meet the queries by pairs of characters."""
+    terms = terms.select("term").where("term is not null").distinct()
+    if terms.limit(most_sent + 1).count() <= most_sent:
+        return asks.join(F.broadcast(terms), F.col("query").contains(F.col("term"))).select("qid", "term")
+    hit = contained(terms.select(F.col("term").alias("t")), asks.select(F.col("query").alias("name")))
+    return asks.join(hit.withColumnsRenamed({"name": "query", "t": "term"}), "query").select("qid", "term")
 
 
 def route(question: Column) -> Column:
@@ -142,8 +154,7 @@ def how_to(edges: DataFrame, chunks: DataFrame) -> DataFrame:
 def attribute_lookup(edges: DataFrame, words: DataFrame) -> DataFrame:
     """``t, name, attribute``: attributes that contain a keyword or are part of one."""
     own = edges.where("relation = 'has_attribute'").select(strip(F.col("s_name")).alias("name"), F.explode(name_list(F.col("e_name"))).alias("attribute")).where(~is_blank(F.col("name")) & ~is_blank(F.col("attribute"))).distinct()
-    names = own.select("attribute").distinct()
-    near = words.select("t").distinct().join(names, F.col("attribute").contains(F.col("t")) | F.col("t").contains(F.col("attribute")))
+    near = either_contains(words, own.select(F.col("attribute").alias("name"))).withColumnRenamed("name", "attribute")
     return near.join(own, "attribute").select("t", "name", "attribute")
 
 
@@ -180,3 +191,82 @@ def term_hits(asks: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
     hits = mentioned(asks, names).join(terms, "term").groupBy("qid", "chunk").agg(F.count("*").alias("hits"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hits"), "chunk")))
     return ranked.where(F.col("rank") <= k)
+
+
+#: The words that name a type, and the replies where nothing is found.
+TYPE_WORDS = ["书籍", "算法", "数据结构", "概念"]
+NO_QUESTION, NO_ITEMS = "请输入您的问题。", "抱歉，没有找到相关项目。"
+NOT_UNDERSTOOD = "抱歉，我没有理解您的问题。您可以询问关于算法、数据结构、概念等的相关问题。例如：\n- 什么是二分查找？\n- 如何实现快速排序？\n- 有哪些排序算法？"
+
+
+def candidates(asks: DataFrame, ents: DataFrame, k: int = 10) -> DataFrame:
+    """``qid, name, rank``: the entities that a query's keywords name or touch: exact ones first, then those that more
+    keywords touch, then by name."""
+    words = asks.select("qid", F.explode(keywords(F.col("query"), GRAPH_STOP_WORDS)).alias("t"))
+    exact = exact_matches(words, ents).withColumn("exact", F.lit(1))
+    touched = words.join(fuzzy_matches(words, ents), "t").select("qid", "name", F.lit(0).alias("exact"))
+    every = exact.unionByName(touched).groupBy("qid", "name").agg(F.max("exact").alias("exact"), F.count("*").alias("n"))
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("exact"), F.desc("n"), "name")))
+    return ranked.where(F.col("rank") <= k).select("qid", "name", "rank")
+
+
+def attribute_answer(name: Column, word: Column, attributes: Column, text: Column) -> Column:
+    """The attribute that contains the word or is part of it; else the first sentence of the text with the word."""
+    found = F.filter(attributes, lambda a: a.contains(word) | word.contains(a))
+    told = F.filter(F.transform(F.split(text, "[。！？\\n]"), strip), lambda s: s.contains(word) & (F.char_length(s) > 5))
+    missing = F.concat(F.lit("抱歉，没有找到关于"), name, F.lit("的"), word, F.lit("属性的信息。"))
+    return F.when(F.size(found) > 0, F.concat(name, F.lit("的"), F.array_min(found), F.lit("属性已找到。"))).when(F.size(told) > 0, F.concat(F.lit("关于"), name, F.lit("的"), word, F.lit("："), told[0])).otherwise(missing)
+
+
+def kg_answer(edges: DataFrame, chunks: DataFrame, asks: DataFrame) -> DataFrame:
+    """``qid, route, entity, answer`` of every query (qid, query), each by its route.
+
+    The entity is the first candidate. A question for an attribute takes the first keyword that isn't part of the
+    entity's name, and tells what the entity is where all are. A list names up to 20 entities of the type that a
+    keyword names, of all types otherwise. Any other query is told of up to ten candidates.
+    """
+    ents = entities(edges).select("name", "type", "chunk")
+    routed = asks.withColumn("route", route(F.col("query"))).withColumn("words", keywords(F.col("query"), GRAPH_STOP_WORDS))
+    found = candidates(asks, ents)
+    first = found.where("rank = 1").select("qid", F.col("name").alias("entity"))
+    whatever = what_is(edges, chunks).select(F.col("name").alias("entity"), F.concat_ws("\n", F.concat("name", F.lit("（"), F.coalesce("type", F.lit("")), F.lit("）")), F.nullif("attributes", F.lit("")), F.nullif("snippet", F.lit(""))).alias("what"))
+    how = how_to(edges, chunks).select(F.col("name").alias("entity"), F.col("steps").alias("how"))
+    own = edges.where("relation = 'has_attribute'").select(strip(F.col("s_name")).alias("entity"), F.explode(name_list(F.col("e_name"))).alias("a")).groupBy("entity").agg(F.collect_set("a").alias("attributes"))
+    texts = with_text(entities(edges), chunks).select(F.col("name").alias("entity"), "text")
+    intro = F.concat("name", F.lit("（"), F.coalesce("type", F.lit("")), F.lit("）"), F.when(F.col("text") != "", F.concat(F.lit("\n简介："), F.replace(F.substring("text", 1, 100), F.lit("\n"), F.lit(" ")), F.lit("..."))).otherwise(""))
+    several = found.join(with_text(ents, chunks), "name").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", intro.alias("intro")))), lambda x: x["intro"]), "\n\n").alias("several"))
+
+    def listed(by: DataFrame, *key: str) -> DataFrame:
+        n = by.groupBy(*key).agg(F.count("*").alias("n"))
+        order = Window.partitionBy(*key).orderBy("name") if key else Window.orderBy("name")
+        # a first cut by name within a hash part keeps all names out of one task
+        some = by.withColumn("p", F.pmod(F.xxhash64("name"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy(*key, "p").orderBy("name"))).where("r <= 20")
+        some = some.withColumn("r", F.row_number().over(order)).where("r <= 20").groupBy(*key).agg(F.array_sort(F.collect_list("name")).alias("names"))
+        both = some.join(n, list(key)) if key else some.crossJoin(n)
+        head = F.concat(F.lit("找到"), F.col("n").cast("string"), F.when(F.col("n") > 20, "个相关项目，前20个：\n").otherwise("个相关项目：\n"))
+        return both.select(*key, F.concat(head, F.array_join(F.transform("names", lambda x: F.concat(F.lit("- "), x)), "\n")).alias("listed"))
+
+    by_type = listed(ents.where(F.col("type").isin(TYPE_WORDS)), "type").withColumnsRenamed({"type": "kind", "listed": "typed"})
+    every = listed(ents)
+    kinds = F.filter("words", lambda w: w.isin(TYPE_WORDS))
+    joined = routed.withColumn("kind", F.get(kinds, F.lit(0))).join(first, "qid", "left").join(whatever, "entity", "left").join(how, "entity", "left").join(own, "entity", "left").join(texts, "entity", "left")
+    joined = joined.join(several, "qid", "left").join(F.broadcast(by_type), "kind", "left").join(F.broadcast(every), F.lit(True), "left")
+    asked = F.get(F.filter("words", lambda w: ~F.col("entity").contains(w)), F.lit(0))
+    none = F.concat(F.lit("抱歉，我没有找到关于关键词'"), F.array_join("words", " "), F.lit("'的相关信息。"))
+    known = F.col("entity").isNotNull()
+    answer = (
+        F.when(F.col("route") == "prompt", NO_QUESTION)
+        .when(F.col("route") == "list", F.coalesce(F.when(F.col("kind").isNotNull(), F.coalesce("typed", F.lit(NO_ITEMS))), F.col("listed"), F.lit(NO_ITEMS)))
+        .when(F.col("route") == "entity", F.coalesce("several", F.lit(NOT_UNDERSTOOD)))
+        .when(~known, none)
+        .when(F.col("route") == "what_is", F.col("what"))
+        .when(F.col("route") == "how_to", F.col("how"))
+        .when(asked.isNull(), F.col("what"))
+        .otherwise(attribute_answer(F.col("entity"), asked, F.coalesce("attributes", F.array().cast("array<string>")), F.coalesce("text", F.lit(""))))
+    )
+    return joined.select("qid", "route", "entity", answer.alias("answer"))
+
+
+def chunk_texts(hits: DataFrame, chunks: DataFrame, most: int = 1000) -> DataFrame:
+    """``hits`` with the first ``most`` characters of their chunk's text (chunks: id, text); hits without one are left out."""
+    return hits.join(chunks.select(F.col("id").alias("chunk"), F.substring("text", 1, most).alias("text")), "chunk")

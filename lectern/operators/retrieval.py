@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import jaccard, keywords, tokens
+from lectern.functions.text import BANK_STOP_WORDS, jaccard, keywords, tokens
+from lectern.operators import scoring as S
 
 
 def top(df: DataFrame, by: str, k: int | None, score: str = "score", tie: str = "id", ascending: bool = False) -> DataFrame:
@@ -40,22 +39,63 @@ def bm25_idf(docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def tokenized(docs: DataFrame, *texts: str) -> DataFrame:
+    """``id``, the tokens of each text under its name, and ``h``, by which repeated deliveries are told."""
+    return docs.select("id", F.xxhash64(*texts).alias("h"), *(tokens(F.col(t)).alias(t) for t in texts))
+
+
+def part_statistics(parts: DataFrame, text: str = "text") -> DataFrame:
+    """``part, tok, df``; the null token has the number of documents with a text, and in ``dl`` the number of their tokens."""
+
+    def run(part: pa.Table) -> pa.Table:
+        lists = S.column(S.once(part), text)
+        _, number, _, vocabulary = S.counted(lists)
+        df = np.bincount(number, minlength=len(vocabulary))
+        rows = len(lists) - lists.null_count
+        return pa.table({"part": pa.array([part.column("part")[0].as_py()] * (len(df) + 1), pa.int32()), "tok": pa.concat_arrays([vocabulary.cast(pa.string()), pa.nulls(1, pa.string())]), "df": pa.array(np.append(df, rows)), "dl": pa.array([0] * len(df) + [len(pc.list_flatten(lists))], pa.int64())})
+
+    return parts.groupBy("part").applyInArrow(run, "part int, tok string, df bigint, dl bigint")
+
+
+def summed(stats: DataFrame) -> DataFrame:
+    """The statistics of all parts together."""
+    return stats.groupBy("tok").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
+
+
 def bm25(docs: DataFrame, asks: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """``qid, id, score, rank``: the best ``k`` documents, or all that match, for each query of ``asks`` (qid, query).
 
-    A token that a query repeats counts as often. Queries meet postings by token; only matching documents are scored.
+    A token that a query repeats counts as often. The documents' tokens are shuffled once, to parts; their statistics
+    and their scores are taken there. Null texts take no part; a row delivered again counts once; empty tables give an
+    empty result.
     """
-    average = document_lengths(docs).agg(F.avg("dl").alias("avgdl"))
-    # a posting carries its document's length, so that what is matched needs no further join
-    listed = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("tok"))
-    tf = listed.groupBy("id", "dl", "tok").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(average))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    count, asked = docs.count(), asks.count()
+    parts = S.dealt(tokenized(docs, "text"), count)
+    stats = summed(part_statistics(parts))
+    total = stats.where("tok is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    raw = stats.where("tok is not null").crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))
     wanted = asks.select("qid", F.explode(tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
-    weighted = wanted.join(bm25_idf(docs, epsilon), "tok").select("qid", "tok", (F.col("qtf") * F.col("idf")).alias("v"))
-    hits = weighted.join(tf.select("id", "tok", weight.alias("w")), "tok")
-    part = F.col("v") * F.col("w")
-    scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, "qid", k)
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
+    weighted = wanted.join(raw, "tok").crossJoin(F.broadcast(mean)).select("qid", "tok", (F.col("qtf") * idf).alias("v"), "avgdl")
+
+    def run(part: pa.Table, block: pa.Table) -> pa.Table:
+        part = S.once(part)
+        lists, ids = S.column(part, "text"), S.column(part, "id").to_numpy()
+        queries = S.Queries(S.column(block, "qid"), S.column(block, "tok"), S.column(block, "v").to_numpy())
+        doc, tok, tf, _ = S.counted(lists, queries.vocabulary)
+        dl = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.float64))
+        average = block.column("avgdl")[0].as_py() if block.num_rows else 1.0
+        w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / average))
+        common = S.Queries(S.column(block, "qid"), S.column(block, "tok"), np.ones(block.num_rows)).scores(doc, tok, np.ones(len(doc)), len(ids))
+        return S.table_of(queries, ids, S.best(queries.scores(doc, tok, w, len(ids)), common > 0, ids, k))
+
+    return top(S.met(parts, weighted, count, asked, run, scored_schema(docs, asks)), "qid", k)
+
+
+def scored_schema(docs: DataFrame, asks: DataFrame) -> str:
+    """The schema of scores, with the keys' own types."""
+    return f"qid {asks.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
 
 
 def tfidf_idf(docs: DataFrame, least: int = 2) -> DataFrame:
@@ -65,49 +105,153 @@ def tfidf_idf(docs: DataFrame, least: int = 2) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("tok", "df", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
 
 
-def tfidf_cosine(docs: DataFrame, asks: DataFrame, least: int = 2) -> DataFrame:
-    """``qid, id, cos`` of every query and document with a common word of the vocabulary."""
-    idf = tfidf_idf(docs, least).select("tok", "idf")
-    w = postings(docs).join(idf, "tok").select("id", "tok", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = asks.select(F.col("qid").alias("id"), F.col("query").alias("text"))
-    v = postings(asked).join(idf, "tok").select(F.col("id").alias("qid"), "tok", (F.col("tf") * F.col("idf")).alias("v"))
-    lengths = v.groupBy("qid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length")).where("length > 0")
-    dots = v.join(w, "tok").groupBy("qid", "id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    both = dots.join(lengths, "qid").join(norms, "id")
-    return both.select("qid", "id", (F.col("dot") / (F.col("length") * F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")))).alias("cos"))
-
-
-def keyword_overlap(docs: DataFrame, asks: DataFrame, out: str = "jac") -> DataFrame:
-    """``qid, id, out``: the Jaccard similarity of the keyword sets, for pairs with a common keyword."""
-    d = docs.select("id", keywords(F.col("text")).alias("k"))
-    q = asks.select("qid", keywords(F.col("query")).alias("k"))
-    common = q.select("qid", F.explode("k").alias("t")).join(d.select("id", F.explode("k").alias("t")), "t").groupBy("qid", "id").agg(F.count("*").alias("both"))
-    sized = common.join(q.select("qid", F.size("k").alias("nq")), "qid").join(d.select("id", F.size("k").alias("nd")), "id")
-    return sized.select("qid", "id", (F.col("both") / (F.col("nq") + F.col("nd") - F.col("both"))).alias(out))
-
-
-def chapter_hits(bank: DataFrame, asks: DataFrame) -> DataFrame:
-    """``qid, id`` where a keyword of the query is part of the item's chapter. Distinct chapters and keywords are
-    compared, so the substring test doesn't grow with the items."""
-    chapters = bank.where(F.col("chapter").isNotNull()).select("chapter").distinct()
-    words = asks.select("qid", F.explode(keywords(F.col("query"))).alias("t"))
-    hit = words.select("t").distinct().join(chapters, F.col("chapter").contains(F.col("t")))
-    return words.join(hit, "t").select("qid", "chapter").distinct().join(bank.select("id", "chapter"), "chapter").select("qid", "id")
+def query_words(asks: DataFrame) -> DataFrame:
+    """``qid, tok, n, keyword``: the tokens of each query with their number, and whether they are keywords."""
+    words = asks.select("qid", F.explode(tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("n"))
+    return words.withColumn("keyword", (F.char_length("tok") > 1) & ~F.col("tok").isin(BANK_STOP_WORDS))
+
+
+def weighted_words(parts: DataFrame, asks: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The words of the queries with their ``idf`` (null for one outside the vocabulary), and those of each part."""
+    stats = part_statistics(parts, text)
+    total = summed(stats)
+    n = total.where("tok is null").select(F.col("df").alias("n"))
+    idf = total.where((F.col("df") >= least) & F.col("tok").isNotNull()).crossJoin(F.broadcast(n)).select("tok", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
+    own = stats.where("tok is not null").select("part", "tok").join(idf, "tok")
+    return query_words(asks).join(idf, "tok", "left"), own
+
+
+def split_block(block: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The rows of the queries and those of the part's own words."""
+    block = block.combine_chunks()
+    asked = block.column("qid").is_valid()
+    return block.filter(asked), block.filter(pc.invert(asked))
+
+
+def cosines(lists: pa.Array, asked: pa.Table, own: pa.Table) -> tuple[S.Queries, np.ndarray, np.ndarray]:
+    """The queries of a block, their cosines with token lists, and where they have a common word of the vocabulary."""
+    idf, n = (S.column(asked, c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("idf", "n"))
+    known = ~np.isnan(idf)
+    qid, words = S.column(asked, "qid"), S.column(asked, "tok")
+    queries = S.Queries(qid, words, np.where(known, n * idf, 0.0))
+    length = np.sqrt(np.bincount(queries.query, weights=queries.weight**2, minlength=queries.count))
+    doc, tok, tf, _ = S.counted(lists, S.column(own, "tok"))
+    weight = tf * S.column(own, "idf").to_numpy()[tok]
+    norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=len(lists)))
+    place = pc.index_in(S.column(own, "tok"), value_set=queries.vocabulary)
+    common = place.is_valid().to_numpy(zero_copy_only=False)[tok] if len(tok) else np.zeros(0, bool)
+    doc, tok, weight = doc[common], pc.fill_null(place, 0).to_numpy()[tok[common]], weight[common]
+    dot = queries.scores(doc, tok, weight, len(lists))
+    shared = S.Queries(qid, words, known.astype(np.float64)).scores(doc, tok, np.ones(len(doc)), len(lists)) > 0
+    return queries, dot / np.where(length > 0, length, 1.0)[:, None] / np.where(norm > 0, norm, 1.0), shared & (length > 0)[:, None]
+
+
+def overlaps(lists: pa.Array, asked: pa.Table) -> tuple[S.Queries, np.ndarray, np.ndarray]:
+    """The queries of a block, the Jaccard similarities of their keywords and of token lists, and where they share one."""
+    keyword = S.column(asked, "keyword").to_numpy(zero_copy_only=False).astype(np.float64)
+    queries = S.Queries(S.column(asked, "qid"), S.column(asked, "tok"), keyword)
+    own, number, _, vocabulary = S.counted(lists)
+    words = pc.and_(pc.greater(pc.utf8_length(vocabulary), 1), pc.invert(pc.is_in(vocabulary, value_set=pa.array(BANK_STOP_WORDS)))).to_numpy(zero_copy_only=False)
+    own, number = own[words[number]], number[words[number]]
+    size = np.bincount(own, minlength=len(lists))
+    place = pc.index_in(vocabulary, value_set=queries.vocabulary)
+    common = place.is_valid().to_numpy(zero_copy_only=False)[number]
+    both = queries.scores(own[common], pc.fill_null(place, 0).to_numpy()[number[common]], np.ones(int(common.sum())), len(lists))
+    asked_size = np.bincount(queries.query, weights=queries.weight, minlength=queries.count)
+    return queries, both / np.maximum(asked_size[:, None] + size - both, 1), both > 0
+
+
+def tfidf_cosine(docs: DataFrame, asks: DataFrame, k: int | None = None, least: int = 2) -> DataFrame:
+    """``qid, id, score, rank``: the ``k`` documents, or all, that share a word of the vocabulary with the query, by cosine."""
+    count, asked = docs.count(), asks.count()
+    parts = S.dealt(tokenized(docs, "text"), count)
+    words, own = weighted_words(parts, asks, least)
+
+    def run(part: pa.Table, block: pa.Table) -> pa.Table:
+        part = S.once(part)
+        ids = S.column(part, "id").to_numpy()
+        queries, cos, shared = cosines(S.column(part, "text"), *split_block(block))
+        return S.table_of(queries, ids, S.best(cos, shared, ids, k))
+
+    return top(S.met(parts, words, count, asked, run, scored_schema(docs, asks), own), "qid", k)
+
+
+def keyword_overlap(docs: DataFrame, asks: DataFrame, k: int | None = None) -> DataFrame:
+    """``qid, id, score, rank``: the ``k`` documents, or all, that share a keyword, by the similarity of the keyword sets."""
+    count, asked = docs.count(), asks.count()
+    parts = S.dealt(tokenized(docs, "text"), count)
+
+    def run(part: pa.Table, block: pa.Table) -> pa.Table:
+        part = S.once(part)
+        ids = S.column(part, "id").to_numpy()
+        queries, score, shared = overlaps(S.column(part, "text"), block.combine_chunks())
+        return S.table_of(queries, ids, S.best(score, shared, ids, k))
+
+    return top(S.met(parts, query_words(asks), count, asked, run, scored_schema(docs, asks)), "qid", k)
+
+
+def named_in(chapters: pa.Array, queries: S.Queries) -> np.ndarray:
+    """Where a keyword of the query (weight 1) is part of the document's chapter (queries x documents)."""
+    coded = chapters.dictionary_encode()
+    some, which = coded.dictionary.to_pylist(), coded.indices
+    words, hit = queries.vocabulary.to_pylist(), np.zeros((queries.count, len(some) + 1), bool)
+    asking = queries.query[queries.weight > 0]
+    word = np.repeat(np.arange(len(words)), queries.size)[queries.weight > 0]
+    for c, chapter in enumerate(some):
+        inside = np.array([w in chapter for w in words], bool)
+        hit[asking[inside[word]], c] = True
+    return hit[:, pc.fill_null(which, len(some)).to_numpy()]
 
 
 def hybrid(bank: DataFrame, asks: DataFrame, k: int = 10, floor: float = 0.05) -> DataFrame:
     """``qid, id, score, rank`` over ``bank`` (id, question, chapter, answer): half cosine, 0.3 keyword overlap of the
-    question, 0.2 of 0.8 times that of the answer's first 500 characters, 0.05 for the chapter, at most 1."""
+    question, 0.2 of 0.8 times that of the answer's first 500 characters, 0.05 for a chapter that a keyword names, at
+    most 1. All parts of the score are added up where the item is; only the best are shuffled."""
     empty = F.lit("")
-    text = F.concat_ws(" ", F.coalesce("question", empty), F.coalesce("chapter", empty), F.substring(F.coalesce("answer", empty), 1, 500))
-    cos = tfidf_cosine(bank.select("id", text.alias("text")), asks)
-    question = keyword_overlap(bank.select("id", F.col("question").alias("text")), asks, "jq")
-    answer = keyword_overlap(bank.select("id", F.substring("answer", 1, 500).alias("text")), asks, "ja")
-    chapter = chapter_hits(bank, asks).withColumn("hit", F.lit(0.05))
-    both = cos.join(question, ["qid", "id"], "full").join(answer, ["qid", "id"], "full").join(chapter, ["qid", "id"], "full").fillna(0.0)
-    score = F.least(F.lit(1.0), 0.5 * F.col("cos") + 0.3 * F.col("jq") + 0.2 * 0.8 * F.col("ja") + F.col("hit"))
-    return top(both.select("qid", "id", F.round(score, 6).alias("score")).where(F.col("score") >= floor), "qid", k)
+    start = F.substring("answer", 1, 500)
+    text = F.concat_ws(" ", F.coalesce("question", empty), F.coalesce("chapter", empty), F.coalesce(start, empty))
+    count, asked = bank.count(), asks.count()
+    whole = bank.select("id", F.xxhash64(text, "question", start).alias("h"), tokens(text).alias("text"), tokens(F.col("question")).alias("question"), tokens(start).alias("answer"), F.col("chapter").alias("name"))
+    parts = S.dealt(whole, count)
+    words, own = weighted_words(parts, asks, 2)
+
+    def run(part: pa.Table, block: pa.Table) -> pa.Table:
+        part = S.once(part)
+        ids = S.column(part, "id").to_numpy()
+        rows, vocabulary = split_block(block)
+        queries, cos, shared = cosines(S.column(part, "text"), rows, vocabulary)
+        score = 0.5 * np.where(shared, cos, 0.0)
+        keyed = None
+        for text, share in (("question", 0.3), ("answer", 0.2 * 0.8)):
+            keyed, jaccard_, _ = overlaps(S.column(part, text), rows)
+            score += share * jaccard_
+        score = np.minimum(1.0, score + 0.05 * named_in(S.column(part, "name"), keyed))
+        return S.table_of(queries, ids, S.best(score, np.round(score, 6) >= floor, ids, k))
+
+    return top(S.met(parts, words, count, asked, run, scored_schema(bank, asks), own), "qid", k)
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``t, name`` of the distinct, non-empty ``t`` and ``name`` where the name contains ``t``.
+
+    Both meet in one pair of neighbouring characters: that of ``t`` which the fewest names have. So no list is sent
+    to all others, and the containment is tested on few pairs.
+    """
+    names = long.select("name").where("name <> ''").distinct()
+    gram = "transform(sequence(1, greatest(char_length({0}) - 1, 1)), i -> substring({0}, i, 2))"
+    pairs = names.select("name", F.explode(F.array_distinct(F.expr(f"concat({gram.format('name')}, split(name, ''))"))).alias("gram"))
+    asked = short.select("t").where("t <> ''").distinct().select("t", F.explode(F.array_distinct(F.expr(gram.format("t")))).alias("gram"))
+    counts = pairs.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no name has rules the word out
+    rare = asked.join(counts, "gram", "left").groupBy("t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("t", F.col("r.gram").alias("gram"))
+    return rare.join(pairs, "gram").where(F.col("name").contains(F.col("t"))).select("t", "name")
+
+
+def either_contains(words: DataFrame, names: DataFrame) -> DataFrame:
+    """``t, name``, each pair once, where one of the two contains the other."""
+    inside = contained(words, names)
+    around = contained(names.select(F.col("name").alias("t")), words.select(F.col("t").alias("name")))
+    return inside.unionByName(around.select(F.col("name").alias("t"), F.col("t").alias("name"))).distinct()
 
 
 def suggestions(bank: DataFrame, asks: DataFrame, k: int = 5) -> DataFrame:
@@ -115,8 +259,7 @@ def suggestions(bank: DataFrame, asks: DataFrame, k: int = 5) -> DataFrame:
     of one, without the query's own."""
     counts = bank.select(F.explode(F.filter(tokens(F.col("question")), lambda t: F.char_length(t) > 1)).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
     words = asks.select("qid", F.explode(keywords(F.col("query"))).alias("t"))
-    # theta join of distinct words: both sides are vocabularies, not rows
-    near = words.select("t").distinct().join(counts, (F.col("tok") != F.col("t")) & (F.col("tok").contains(F.col("t")) | F.col("t").contains(F.col("tok"))))
+    near = either_contains(words, counts.select(F.col("tok").alias("name"))).where("t <> name").withColumnRenamed("name", "tok").join(counts, "tok")
     found = words.join(near, "t").select("qid", "tok", "n").distinct()
     own = words.select("qid", F.col("t").alias("tok"))
     return top(found.join(own, ["qid", "tok"], "left_anti"), "qid", k, "n", "tok")
@@ -157,40 +300,29 @@ def best_of_batch(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, cells:
     return a, b, e
 
 
-def nearest(vectors: DataFrame, asks: DataFrame, k: int = 10, block: int = 4_000) -> DataFrame:
+def nearest(vectors: DataFrame, asks: DataFrame, k: int = 10, size: int = 50_000, block: int = 1_000) -> DataFrame:
     """``qid, id, dist, rank``: exact squared L2 distances of the queries (qid, v) to all ``vectors`` (id, v).
 
-    The queries are taken in blocks of a bounded size, each sent to all partitions; a partition keeps its own ``k``
-    best of each query, so little is shuffled. If ``asks`` has a column ``k``, its largest counts.
+    Every part of about ``size`` vectors meets every block of about ``block`` queries, and gives on its own ``k`` best of
+    each query. If ``asks`` has a column ``k``, its largest counts.
     """
-    spark = vectors.sparkSession
-    total = asks.count()
-    parts = max(1, math.ceil(total / block))
+    count, asked = vectors.count(), asks.count()
     if "k" in asks.columns:
         k = max(1, asks.agg(F.max("k")).first()[0] or 1)
-    numbered = asks.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)))
-    out = None
-    for p in range(parts):
-        local = numbered.where(F.col("part") == p).select("qid", "v").toArrow()
-        if not local.num_rows:
-            continue
-        ids = np.array(local.column(0), np.int64)
-        q = np.array(local.column(1).combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, q = sent.value
-            for batch in batches:
-                x = np.array(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                own = batch.column(0).to_numpy()
-                rows, near, dist = best_of_batch(q, x, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(own[near]), pa.array(dist)], names=["qid", "id", "dist"])
-
-        one = vectors.select("id", "v").mapInArrow(run, "qid bigint, id bigint, dist double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([], "qid bigint, id bigint, dist double, rank int")
-    return top(out, "qid", k, "dist", "id", ascending=True)
+
+    def rows(table: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
+        ids = S.column(table, key)
+        return ids, np.array(pc.list_flatten(S.column(table, "v")), np.float64).reshape(len(ids), -1 if len(ids) else 0)
+
+    def run(part: pa.Table, asks: pa.Table) -> pa.Table:
+        (ids, x), (qids, q) = rows(part, "id"), rows(asks, "qid")
+        own = ids.to_numpy()
+        row, near, dist = best_of_batch(q, x, own, k) if len(ids) and len(qids) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"qid": qids.take(pa.array(row)), "id": ids.take(pa.array(near)), "dist": pa.array(dist)})
+
+    schema = f"qid {asks.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, dist double"
+    found = S.met(S.dealt(vectors.select("id", "v"), count, size=size), asks.select("qid", "v"), count, asked, run, schema, size=size, block=block)
+    return top(found, "qid", k, "dist", "id", ascending=True)
 
 
 def fused(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -107,22 +107,53 @@ def packed(text: Column, most: int) -> Column:
     return F.aggregate(sentences(text), start, step, finish)
 
 
-def refine(chunks: DataFrame, most: int = 300) -> DataFrame:
-    """``id, part, title, content``: chunks of at most ``most`` characters as they are (part 0), longer ones packed."""
+def refine(chunks: DataFrame, most: int = 300, *carried: str) -> DataFrame:
+    """``id, part, title, content`` and the columns ``carried``: chunks of at most ``most`` characters as they are (part 0),
+    longer ones packed."""
     short = F.char_length("content") <= most
     parts = F.when(short, F.array("content")).otherwise(packed(F.col("content"), most))
-    out = chunks.select("id", "title", short.alias("short"), F.posexplode(parts).alias("at", "content"))
+    out = chunks.select("id", "title", *carried, short.alias("short"), F.posexplode(parts).alias("at", "content"))
     part = F.when(F.col("short"), 0).otherwise(F.col("at") + 1)
     title = F.when(F.col("short"), F.coalesce("title", F.lit(""))).otherwise(F.concat(F.coalesce("title", F.lit("")), F.lit(" (part "), part.cast("string"), F.lit(")")))
-    return out.select("id", part.alias("part"), title.alias("title"), "content")
+    return out.select("id", part.alias("part"), title.alias("title"), "content", *carried)
+
+
+def numbered_metadata(metadata: Column, numbering: Column) -> Column:
+    """The metadata with the last of a path's numbers as ``chapter_numbering``, unless there is none."""
+    last = F.element_at(F.filter(numbering, lambda n: ~is_blank(n)), -1)
+    own = F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, _: k != "chapter_numbering")
+    return F.when(F.size(F.filter(numbering, lambda n: ~is_blank(n))) > 0, F.map_concat(own, F.create_map(F.lit("chapter_numbering"), last))).otherwise(metadata)
+
+
+def extracted_questions(chunks: DataFrame, rewrite: bool = True) -> DataFrame:
+    """``id, question_id, class, title, description, source, rewritten``: the questions among ``chunks`` (id, title, content,
+    path, book): detected, cleaned (at least 10 characters left), named, with their source; rewritten behind the
+    source as context, or null."""
+    asked = chunks.where(is_question(F.col("content"), F.coalesce("title", F.lit("")), F.col("path")))
+    cleaned = asked.withColumn("description", clean_description(F.col("content"))).where(F.char_length("description") >= 10)
+    named = cleaned.withColumns({"question_id": question_id(F.col("id"), F.col("title")), "source": question_source(F.col("path"), F.col("book"))})
+    again = rewritten(F.col("description"), F.col("source"), F.col("question_id"))["text"] if rewrite else F.lit(None).cast("string")
+    return named.select("id", "question_id", F.lit("single").alias("class"), "title", "description", "source", again.alias("rewritten"))
+
+
+def extraction_statistics(chunks: DataFrame) -> DataFrame:
+    """One row: all chunks, those detected as questions, those extracted, and those that a context rewrote."""
+    found = is_question(F.col("content"), F.coalesce("title", F.lit("")), F.col("path"))
+    long = found & (F.char_length(clean_description(F.col("content"))) >= 10)
+    context = F.char_length(question_source(F.col("path"), F.col("book"))) > 50
+    return chunks.agg(F.count("*").alias("total"), F.count_if(found).alias("detected"), F.count_if(long).alias("extracted"), F.count_if(long & context).alias("rewritten"))
 
 
 def dense_ids(rows: DataFrame, key: str, *order: str, width: int = 10_000) -> DataFrame:
     """``rows`` with ``dense_id``: 1, 2, ... in the order of ``key`` and ``order``. Ranges of ``width`` keys are counted
     first, so that no task numbers all rows."""
     ranged = rows.withColumn("bucket", F.floor(F.col(key) / width))
-    counts = ranged.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    counts = ranged.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("upper", F.floor(F.col("bucket") / width))
+    # the buckets are summed up within upper ones, and only those in one task: one row for width * width keys
+    upper = counts.groupBy("upper").agg(F.sum("n").alias("n"))
+    above = upper.select("upper", (F.sum("n").over(Window.orderBy("upper")) - F.col("n")).alias("above"))
+    inside = counts.select("bucket", "upper", (F.sum("n").over(Window.partitionBy("upper").orderBy("bucket")) - F.col("n")).alias("inside"))
+    before = inside.join(above, "upper").select("bucket", (F.col("above") + F.col("inside")).alias("before"))
     within = F.row_number().over(Window.partitionBy("bucket").orderBy(key, *order))
     return ranged.withColumn("w", within).join(before, "bucket").withColumn("dense_id", (F.col("before") + F.col("w")).cast("bigint")).drop("bucket", "w", "before")
 

@@ -10,6 +10,7 @@ from lectern.functions.clients import Client, completed, embedded, parsed
 from lectern.functions.text import is_blank
 from lectern.operators.citations import cited, renumbered
 from lectern.operators.retrieval import bm25, nearest
+from lectern.sources.scratch import cut_lineage
 
 PLAN = "array<struct<step_id:int, action:string, query:string, top_k:int>>"
 VERDICT = "is_sufficient boolean, missing_aspects array<string>, has_hallucination boolean, has_citation_error boolean, next_action string"
@@ -73,9 +74,10 @@ def answered(asks: DataFrame, chunks: DataFrame, vectors: DataFrame | None, clie
     """``qid, answer, used, iterations``: queries whose answer isn't accepted go round again with what was missing."""
     left, done = asks, None
     for turn in range(1, most + 1):
-        answers = synthesized(left, executed(planned(left, client), chunks, vectors, client), chunks, client)
+        answers = cut_lineage(synthesized(left, executed(planned(left, client), chunks, vectors, client), chunks, client))
         verdict = verified(answers, client)
-        judged = answers.join(verdict, "qid").withColumn("iterations", F.lit(turn))
+        # written, so that a turn's model calls are made once and all that follows sees the same verdicts
+        judged = cut_lineage(answers.join(verdict, "qid").withColumn("iterations", F.lit(turn)))
         stop = (F.col("next_action") == "accept") | F.lit(turn == most)
         part = judged.where(stop).select("qid", "answer", "used", "iterations")
         done = part if done is None else done.unionByName(part)

@@ -21,7 +21,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each answer cites its own number and the numbers 3 and 5 behind it, so that every row has something to renumber
     b = bank(spark, sf_dir).where(F.col("answer").isNotNull())
     own = (F.col("id") % 9 + 1).cast("int")
-    text = F.concat("answer", F.lit(" [5][3]【"), own.cast("string"), F.lit("】"))
+    text = F.concat("answer", F.lit(" [5][3]7 [3]【"), own.cast("string"), F.lit("】2【"), own.cast("string"), F.lit("】"))
     return b.select("id", text.alias("text"), F.array(F.lit(3), F.lit(5), own).alias("used"))
 
 
@@ -155,7 +155,7 @@ def cache_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("source", F.concat_ws("_", F.regexp_replace("source", r"\.[^.]*$", ""), F.substring(F.md5("source"), 1, 8)).alias("name")).distinct()
 
 
-_ANS = "ans AS (SELECT id, answer || ' [5][3]【' || (id % 9 + 1) || '】' AS text, list_sort(list_distinct([3, 5, id % 9 + 1])) AS used FROM bank WHERE answer IS NOT NULL)"
+_ANS = "ans AS (SELECT id, answer || ' [5][3]7 [3]【' || (id % 9 + 1) || '】2【' || (id % 9 + 1) || '】' AS text, list_sort(list_distinct([3, 5, id % 9 + 1])) AS used FROM bank WHERE answer IS NOT NULL)"
 _CITED = "list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT)))"
 _P = "p AS (SELECT event_id, event_type, (props->>'$.k')::INT AS k FROM events), pr AS (SELECT event_id, event_type, CASE WHEN k % 11 <> 0 THEN [200, 301, 403, 404, 410, 429, 500][k % 7 + 1] END AS code, k % 5 <> 0 AS html FROM p)"
 _PS = "CASE WHEN code IS NULL THEN 'timeout' WHEN code IN (401, 403, 429) THEN 'blocked' WHEN code IN (404, 410) THEN 'dead' WHEN NOT html THEN 'non_html' WHEN code >= 200 AND code < 400 THEN 'alive' ELSE 'error' END"
@@ -173,9 +173,11 @@ SQL = {
     "citation_extract": f"WITH {_BANK}, {_ANS} SELECT id, array_to_string({_CITED}, ',') AS cited FROM ans",
     "citation_validate": f"""WITH {_BANK}, {_ANS}, c AS (SELECT id, used, {_CITED} AS cited FROM ans), d AS (SELECT id, list_filter(used, lambda x: NOT list_contains(cited, x)) AS missing, list_filter(cited, lambda x: NOT list_contains(used, x)) AS extra FROM c)
 SELECT id, len(missing) = 0 AND len(extra) = 0 AS valid, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra FROM d""",
-    "citation_renumber": f"""WITH {_BANK}, {_ANS}, l AS (SELECT id, text, used, generate_subscripts(used, 1) AS k FROM ans),
-r AS (WITH RECURSIVE s AS (SELECT id, text, used, 0 AS k FROM ans UNION ALL SELECT id, replace(replace(text, '[' || used[k + 1] || ']', '[' || chr(1) || (k + 1) || ']'), '【' || used[k + 1] || '】', '【' || chr(1) || (k + 1) || '】'), used, k + 1 FROM s WHERE k < len(used)) SELECT * FROM s WHERE k = len(used))
-SELECT id, replace(text, chr(1), '') AS text FROM r""",
+    # a mark right before a digit stays: such marks are kept apart by characters that no text has
+    "citation_renumber": f"""WITH {_BANK}, {_ANS}, apart AS (SELECT id, used, regexp_replace(text, '([\\]】])(\\d)', '\\1' || chr(2) || '\\2', 'g') AS text FROM ans),
+r AS (WITH RECURSIVE s AS (SELECT id, text, used, 0 AS k FROM apart UNION ALL SELECT id, replace(replace(replace(replace(text, '[' || used[k + 1] || ']' || chr(2), '[' || used[k + 1] || chr(3) || ']' || chr(2)), '[' || used[k + 1] || ']', '[' || chr(1) || (k + 1) || ']'),
+  '【' || used[k + 1] || '】' || chr(2), '【' || used[k + 1] || chr(3) || '】' || chr(2)), '【' || used[k + 1] || '】', '【' || chr(1) || (k + 1) || '】'), used, k + 1 FROM s WHERE k < len(used)) SELECT * FROM s WHERE k = len(used))
+SELECT id, replace(replace(replace(text, chr(1), ''), chr(2), ''), chr(3), '') AS text FROM r""",
     "citation_body": f"""WITH {_BANK} SELECT id, {_strip('answer')} AS body, len(list_filter(list_transform(string_split(question, chr(10)), lambda s: {_strip('s')}), lambda s: s <> '')) AS refs FROM bank WHERE answer IS NOT NULL AND question IS NOT NULL""",
     "citation_display": f"""WITH {_BANK}, {_CHUNKS}, {_BM25}, {_SOURCES}, numbered AS (SELECT qid, id, min(rank) AS old, row_number() OVER (PARTITION BY qid ORDER BY min(rank), id) AS number FROM bm25 GROUP BY qid, id)
 SELECT qid, number, old, id, '《' || CASE WHEN trim(book) = '' THEN '未知来源' ELSE book END || '》-' || title AS source FROM numbered JOIN sources USING (id)""",

@@ -15,11 +15,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "refined_document_chunks").select(F.col("chunk_id").alias("id"), F.col("content").alias("text")).where(F.col("text").isNotNull()).distinct()
 
 
+def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, text`` of all delivered rows, for searches that tell repeated rows themselves."""
+    return table(spark, sf_dir, "refined_document_chunks").select(F.col("chunk_id").alias("id"), F.col("content").alias("text")).where(F.col("text").isNotNull())
+
+
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, question, chapter, answer`` of the distinct items."""
     return table(spark, sf_dir, "answered_questions").select(F.col("qa_id").alias("id"), "question", "chapter", "answer").distinct()
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all delivered rows."""
+    return table(spark, sf_dir, "answered_questions").select(F.col("qa_id").alias("id"), "question", "chapter", "answer")
+
+
 def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, query`` of every fiftieth question."""
     return bank(spark, sf_dir).where((F.col("id") % 50 == 0) & F.col("question").isNotNull()).select(F.col("id").alias("qid"), F.col("question").alias("query"))
@@ -37,7 +47,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25: ten best chunks for every query."""
-    return R.bm25(chunks(spark, sf_dir), asks(spark, sf_dir))
+    return R.bm25(delivered(spark, sf_dir), asks(spark, sf_dir))
 
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,14 +97,12 @@ def tfidf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten most similar questions by TF-IDF cosine."""
-    cos = R.tfidf_cosine(questions(spark, sf_dir), asks(spark, sf_dir))
-    return R.top(cos.select("qid", "id", F.round("cos", 6).alias("score")), "qid", 10)
+    return R.tfidf_cosine(questions(spark, sf_dir), asks(spark, sf_dir), 10)
 
 
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten most similar questions by keyword sets."""
-    j = R.keyword_overlap(questions(spark, sf_dir), asks(spark, sf_dir))
-    return R.top(j.select("qid", "id", F.round("jac", 6).alias("score")), "qid", 10)
+    return R.keyword_overlap(questions(spark, sf_dir), asks(spark, sf_dir), 10)
 
 
 def answer_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +113,12 @@ def answer_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best items of the question bank by the hybrid score."""
-    return R.hybrid(bank(spark, sf_dir), asks(spark, sf_dir))
+    return R.hybrid(items(spark, sf_dir), asks(spark, sf_dir))
 
 
 def hybrid_search_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among the items of chapters that contain 图, filtered before scoring."""
-    return R.hybrid(bank(spark, sf_dir).where(F.lower("chapter").contains("图")), asks(spark, sf_dir))
+    return R.hybrid(items(spark, sf_dir).where(F.lower("chapter").contains("图")), asks(spark, sf_dir))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,15 +129,13 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_dedup_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and keyword hits in one list, each question once, numbered."""
     q, a = questions(spark, sf_dir), asks(spark, sf_dir)
-    j = R.keyword_overlap(q, a).select("qid", "id", F.round("jac", 6).alias("score"))
-    return R.fused(R.bm25(q, a), R.top(j, "qid", 10))
+    return R.fused(R.bm25(q, a), R.keyword_overlap(q, a, 10))
 
 
 def best_score_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and keyword hits, each question once with its larger score."""
     q, a = questions(spark, sf_dir), asks(spark, sf_dir)
-    j = R.keyword_overlap(q, a).select("qid", "id", F.round("jac", 6).alias("score"))
-    return R.best_score(R.bm25(q, a), R.top(j, "qid", 10))
+    return R.best_score(R.bm25(q, a), R.keyword_overlap(q, a, 10))
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +147,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered context of every query: source and the first 500 characters of each hit."""
-    hits = R.bm25(chunks(spark, sf_dir), asks(spark, sf_dir)).select("qid", "id", "rank")
+    hits = R.bm25(delivered(spark, sf_dir), asks(spark, sf_dir)).select("qid", "id", "rank")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 《"), F.col("book"), F.lit("》-"), F.col("title"))
     return hits.join(_sources(spark, sf_dir), "id").select("qid", "id", "rank", line.alias("source"), prefix(F.col("content"), 500).alias("snippet"))
 
@@ -149,9 +155,8 @@ def context_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered context of every query, uncut: book, path titles and the whole text of the hits of BM25 and of
     keywords, each chunk once."""
-    c, a = chunks(spark, sf_dir), asks(spark, sf_dir)
-    j = R.keyword_overlap(c, a).select("qid", "id", F.round("jac", 6).alias("score"))
-    hits = R.fused(R.bm25(c, a), R.top(j, "qid", 10))
+    c, a = delivered(spark, sf_dir), asks(spark, sf_dir)
+    hits = R.fused(R.bm25(c, a), R.keyword_overlap(c, a, 10))
     raw = table(spark, sf_dir, "refined_document_chunks").where(F.col("content").isNotNull())
     book = F.coalesce(F.nullif(F.trim(F.col("metadata")["title"]), F.lit("")), F.lit("未知来源"))
     titles = F.coalesce(F.array_join("path_titles", " > "), F.lit(""))
@@ -162,7 +167,7 @@ def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_first_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The books of every query's hits in order, each with the chapter of its best hit."""
-    hits = R.bm25(chunks(spark, sf_dir), asks(spark, sf_dir)).select("qid", "id", "rank").join(_sources(spark, sf_dir), "id")
+    hits = R.bm25(delivered(spark, sf_dir), asks(spark, sf_dir)).select("qid", "id", "rank").join(_sources(spark, sf_dir), "id")
     return hits.groupBy("qid", "book").agg(F.min("rank").alias("first_rank"), F.min_by("chapter", "rank").alias("chapter"))
 
 

@@ -198,10 +198,16 @@ pg AS (SELECT id, segment, arg_min(t, line_no) AS h, arg_min(chapter, line_no) A
   coalesce(string_agg(t, ' ' ORDER BY line_no) FILTER (t <> '' AND NOT starts_with(t, '#') AND NOT starts_with(t, '[') AND NOT starts_with(t, 'Omitted')), '') AS content,
   coalesce(string_agg(t, chr(10) ORDER BY line_no) FILTER (t <> '' AND NOT starts_with(t, '#') AND NOT starts_with(t, '[') AND NOT starts_with(t, 'Omitted')), '') AS full_text FROM ps WHERE segment > 0 GROUP BY id, segment),
 prob AS (SELECT id, regexp_extract(h, '(\\d+-\\d+)', 1) AS prob_id, chapter, {_strip("regexp_replace(h, '^#+\\s*\\d+-\\d+', '')")} AS title, content, full_text FROM pg)"""
-_CLEAN = f"regexp_replace(question, '{_WS}+', ' ', 'g')"
-_CLEAN = f"regexp_replace({_CLEAN}, '^[。，！？；：\"《》]+|[。，！？；：\"《》]+$', '', 'g')"
-_CLEAN = f"regexp_replace({_CLEAN}, '[#*`_\\[\\]]+', '', 'g')"
-_CLEAN = _strip(f"regexp_replace({_CLEAN}, 'https?://\\S+', '', 'g')")
+
+
+def _clean(x: str) -> str:
+    out = f"regexp_replace({x}, '{_WS}+', ' ', 'g')"
+    out = f"regexp_replace({out}, '^[。，！？；：\"《》]+|[。，！？；：\"《》]+$', '', 'g')"
+    out = f"regexp_replace({out}, '[#*`_\\[\\]]+', '', 'g')"
+    return _strip(f"regexp_replace({out}, 'https?://\\S+', '', 'g')")
+
+
+_CLEAN = _clean("question")
 
 QUERIES = {
     f.__name__: f

@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,8 +91,8 @@ def csv_any_encoding(spark: SparkSession, path: str, required: tuple[str, ...] =
 
     The encoding is told from the file's bytes: they either are valid UTF-8 or not. A missing column raises.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.count_if(~F.is_valid_utf8(F.col("content").cast("string"))).over(_all()).alias("bad")).limit(1).collect()
-    encoding = "ISO-8859-1" if raw and raw[0]["bad"] else "UTF-8"
+    bad = spark.read.format("binaryFile").load(path).agg(F.count_if(~F.is_valid_utf8(F.col("content").cast("string")))).first()[0]
+    encoding = "ISO-8859-1" if bad else "UTF-8"
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
     df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
     if gone := [c for c in required if c not in df.columns]:
@@ -100,12 +100,6 @@ def csv_any_encoding(spark: SparkSession, path: str, required: tuple[str, ...] =
     return df
 
 
-def _all():  # noqa: ANN202
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy()
-
-
 LOADERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -141,3 +135,35 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
     if extension not in LOADERS:
         raise ValueError(f"no loader for {extension!r}")
     return LOADERS[extension](spark, path)
+
+
+METHODS = ("ocr", "text")
+
+
+def converted(files: DataFrame, convert: Callable[[bytes, str], str], method: str = "text") -> DataFrame:
+    """``name, text`` of files (name, bytes) by an external converter, a function of bytes and method; an unknown method
+    raises. A file that can't be converted has a null text."""
+    if method not in METHODS:
+        raise ValueError(f"no method {method!r}")
+
+    @F.udf("string")
+    def run(content: bytes | None) -> str | None:
+        try:
+            return None if content is None else convert(bytes(content), method)
+        except Exception:  # noqa: BLE001
+            return None
+
+    return files.select("name", run("bytes").alias("text"))
+
+
+def cache_name(name: Column) -> Column:
+    """The folder of a file's converted text: its name without extension, and eight hex digits of the name's MD5."""
+    return F.concat_ws("_", F.regexp_replace(name, r"\.[^.]*$", ""), F.substring(F.md5(name), 1, 8))
+
+
+def uncached(files: DataFrame, cache: str, force: bool = False) -> DataFrame:
+    """The files (name, ...) that have no converted text in the table ``cache`` (name, text); all of them by force."""
+    spark = files.sparkSession
+    if force or not _exists(spark, cache):
+        return files
+    return files.join(spark.read.parquet(cache).where("text is not null").select("name"), "name", "left_anti")
