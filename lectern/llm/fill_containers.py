@@ -165,9 +165,13 @@ def fill_containers(df: DataFrame, key: str = "doc_id", size: str = "n_tokens",
 
     schema = f"container_id bigint, item {kind}, piece int, size bigint"
     filled = rooms.unionByName(tiny).repartition(shards, "shard").groupBy("shard").applyInPandas(fill, schema)
-    whole = every.where(F.col("n") >= capacity).select("item", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / capacity).cast("int") - 1)).alias("piece"))
-    # a full piece has a container of its own, numbered below zero by key and piece: nothing else is put into it
-    alone = whole.select((-1 - F.abs(F.xxhash64("item", "piece") % F.lit(2**62))).alias("container_id"), "item", "piece", F.lit(capacity).cast("bigint").alias("size"))
+    # a full piece has a container of its own, numbered below zero by its rank: those of the buckets and items before it
+    long = every.where(F.col("n") >= capacity).select("item", F.floor(F.col("n") / capacity).cast("bigint").alias("whole"))
+    long = long.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(max(1, math.ceil(long.count() / shard_rows)))).cast("int"))
+    earlier = long.groupBy("bucket").agg(F.sum("whole").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("earlier"))
+    inside = F.sum("whole").over(Window.partitionBy("bucket").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole")
+    counted = long.withColumn("inside", inside).join(earlier, "bucket").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)))
+    alone = counted.select((-1 - F.col("earlier") - F.col("inside") - F.col("piece")).cast("bigint").alias("container_id"), "item", "piece", F.lit(capacity).cast("bigint").alias("size"))
     empty = every.where("n = 0").select(F.lit(0).cast("bigint").alias("container_id"), "item", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("size"))
     out = packed.unionByName(filled).unionByName(alone).unionByName(empty)
     return out.select("container_id", F.col("item").alias(key), "piece", (F.col("piece") * F.lit(capacity)).cast("bigint").alias("first"), "size")

@@ -116,20 +116,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": p8_shares,
 }
 
+_NEAR = """v AS (SELECT chunk_id AS id, any_value(embedding)::FLOAT[96] AS f, any_value(embedding) AS v FROM chunk_vectors WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+near AS (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS d FROM v AS a JOIN v AS b ON a.id <> b.id AND array_distance(a.f, b.f) < 0.64),
+ranked AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM near WHERE d <= 0.4)"""
+_SPANS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM d)),
+s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+spans AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_len FROM g GROUP BY doc_id, run)"""
+# pairs of a similarity of 0.7 or more share one of the rarest three tenths of their substrings
+_PAIRS = r"""t AS (SELECT DISTINCT 'answered_questions' AS tbl, qa_id AS id, regexp_replace(lower(question), '[^\p{L}\p{N}]+', '', 'g') AS t FROM answered_questions
+  UNION SELECT DISTINCT 'refined_document_chunks', chunk_id, regexp_replace(lower(content), '[^\p{L}\p{N}]+', '', 'g') FROM refined_document_chunks),
+g AS (SELECT DISTINCT tbl, id, substr(t, i, 4) AS g FROM (SELECT tbl, id, t, unnest(range(1, length(t) - 2)) AS i FROM t WHERE length(t) >= 80)),
+n AS (SELECT tbl, id, count(*) AS n FROM g GROUP BY tbl, id), f AS (SELECT tbl, g, count(*) AS f FROM g GROUP BY tbl, g),
+p AS (SELECT * FROM (SELECT g.tbl, g.id, g.g, n, row_number() OVER (PARTITION BY g.tbl, g.id ORDER BY f, g.g) AS r FROM g JOIN f ON f.tbl = g.tbl AND f.g = g.g JOIN n ON n.tbl = g.tbl AND n.id = g.id) WHERE r <= n - ceil(0.7 * n) + 1),
+c AS (SELECT DISTINCT a.tbl, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b FROM p AS a JOIN p AS b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)),
+pairs AS (SELECT c.tbl, id_a, id_b FROM c JOIN g AS x ON x.tbl = c.tbl AND x.id = id_a JOIN g AS y ON y.tbl = c.tbl AND y.id = id_b AND x.g = y.g GROUP BY c.tbl, id_a, id_b, n_a, n_b HAVING count(*) >= 0.7 * (n_a + n_b - count(*)))"""
+
 #: Exact counterparts where SQL can take whole tables. The others are tested against brute force or other encoders.
 SQL: dict[str, str] = {
-    "p1_found": """WITH v AS (SELECT chunk_id AS id, any_value(embedding)::FLOAT[96] AS f, any_value(embedding) AS v FROM chunk_vectors WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
-near AS (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS d FROM v AS a JOIN v AS b ON a.id <> b.id AND array_distance(a.f, b.f) < 0.64),
-ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM near WHERE d <= 0.4)
-SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM ranked WHERE n <= 5""",
+    "p1_nearest": f"WITH {_NEAR} SELECT a AS chunk_id, b AS neighbour, d AS dist, n AS rank FROM ranked WHERE n <= 5",
+    "p3_found": f"WITH {_PAIRS} SELECT tbl, id_a, id_b FROM pairs",
+    "p3_records": f"""WITH {_PAIRS}, l AS (SELECT t.tbl, t.id, min(o.id) AS class_id FROM t JOIN t AS o ON o.tbl = t.tbl AND o.t = t.t WHERE length(t.t) >= 80 GROUP BY t.tbl, t.id),
+size AS (SELECT tbl, class_id, count(*) AS copies FROM l GROUP BY tbl, class_id),
+twice AS (SELECT tbl, id_a AS a, id_b AS b FROM pairs UNION ALL SELECT tbl, id_b, id_a FROM pairs),
+links AS (SELECT twice.tbl, x.class_id, count(DISTINCT y.class_id) AS links FROM twice JOIN l AS x ON x.tbl = twice.tbl AND x.id = a JOIN l AS y ON y.tbl = twice.tbl AND y.id = b WHERE x.class_id <> y.class_id GROUP BY twice.tbl, x.class_id)
+SELECT l.tbl, l.id, l.class_id, copies, coalesce(links, 0) AS links FROM l JOIN size ON size.tbl = l.tbl AND size.class_id = l.class_id LEFT JOIN links ON links.tbl = l.tbl AND links.class_id = l.class_id""",
+    "p8_shares": f"""WITH {_SPANS}, n AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), k AS (SELECT doc_id, sum(span_len)::BIGINT AS k FROM spans GROUP BY doc_id)
+SELECT n.doc_id, n_chars, coalesce(k, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN round(coalesce(k, 0) / n_chars, 6) ELSE 0.0 END AS share FROM n LEFT JOIN k ON k.doc_id = n.doc_id""",
+    "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM ranked WHERE n <= 5",
     "p5_found": r"""WITH c AS (SELECT DISTINCT chunk_id, content FROM refined_document_chunks WHERE length(content) > 300),
 m AS (SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(content, '([。！？!?])', '\1' || chr(1), 'g'), '\.([\s　\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}])', '.' || chr(1) || '\1', 'g'), '\r?\n[ \t]*\r?\n', chr(1), 'g') AS t FROM c),
 s AS (SELECT chunk_id, length(regexp_replace(unnest(string_split(t, chr(1))), '^[\s　\x{a0}]+|[\s　\x{a0}]+$', '', 'g')) AS n FROM m)
 SELECT chunk_id, CASE WHEN max(n) > 300 THEN 'forced' ELSE 'natural' END AS cut FROM s GROUP BY chunk_id""",
-    "p8_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
-w AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM d)),
-s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))),
-r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
-g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r)
-SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_len FROM g GROUP BY doc_id, run""",
+    "p8_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_len FROM spans",
 }

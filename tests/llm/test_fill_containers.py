@@ -64,3 +64,11 @@ def test_query(spark, tiny):
     got = p7_containers(spark, tiny)
     assert got.count() == got.select("doc_id", "piece").distinct().count()
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{tiny}/documents.parquet").count()
+
+
+def test_full_pieces_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(i, 10 * (i % 5)) for i in range(400)] + [(500, 9), (501, 0), (502, None)], "doc_id bigint, n_tokens bigint")
+    rows = fill_containers(df, capacity=10, shard_rows=7).collect()
+    full = [r["container_id"] for r in rows if r["container_id"] < 0]
+    assert len(full) == len(set(full)) == sum(i % 5 for i in range(400)) and min(full) == -len(full)
+    assert sum(r["size"] for r in rows) == sum(10 * (i % 5) for i in range(400)) + 9
