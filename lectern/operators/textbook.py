@@ -38,13 +38,9 @@ def headings(docs: DataFrame) -> DataFrame:
 
 
 def heading_levels(docs: DataFrame) -> DataFrame:
-    """``id, line_no, level, numbering, title``: a heading without a numbering is one below the one before it."""
-    order = Window.partitionBy("id").orderBy("line_no")
-    run = F.sum(F.when(F.col("level0").isNotNull(), 1).otherwise(0)).over(order)
-    known = headings(docs).withColumn("run", run)
-    within = Window.partitionBy("id", "run").orderBy("line_no")
-    first = F.coalesce(F.first("level0").over(within), F.lit(1))
-    return known.select("id", "line_no", (first + F.row_number().over(within) - 1).cast("int").alias("level"), "numbering", "title")
+    """``id, line_no, level, numbering, title``: a heading without a numbering is one below the one before it; the
+    exercise rule of ``heading_paths`` holds here, too."""
+    return heading_paths(docs).select("id", "line_no", "level", "numbering", "title")
 
 
 def heading_paths(docs: DataFrame) -> DataFrame:
