@@ -17,6 +17,7 @@ from lectern.plans.graph import SQL as GRAPH_SQL
 from lectern.plans.search import _BANK, _BM25, _CHUNKS, _KNN, _hybrid, _list, _tok, asks, chunks, delivered, items, vectors
 from lectern.plans.textbook import _PACK, _clean, _strip
 from lectern.plans.textbook import T as _T
+from lectern.sources.scratch import cut_lineage
 from lectern.sources.tables import table
 
 
@@ -82,10 +83,10 @@ def smart_answers(questions: DataFrame, chunks: DataFrame, vectors: DataFrame |
     """``qid, answer, citations, decision, prerequisites, related``: the answer of every query (qid, query) with its sources,
     and what the decision recommends: prerequisites (from ``concepts``, see ``prerequisite_edges``) and items of ``bank``.
 
-    ``sources`` has ``id, book, title`` of the chunks. Lists are empty where nothing is recommended or found.
+    ``sources`` has ``id, book, title`` of the chunks; of ``chunks``, a row delivered again counts once. Lists are empty where nothing is recommended or found.
     """
-    plans = A.executed(A.planned(questions, client), chunks, vectors, client)
-    answers = A.answered(questions, chunks, vectors, client)
+    plans = cut_lineage(A.executed(A.planned(questions, client), chunks, vectors, client))
+    answers = A.answered(questions, chunks, vectors, client, evidence=plans)
     shown = C.display_sources(plans.select("qid", "id", F.col("number").alias("rank")), sources)
     told = C.formatted(answers.select("qid", "answer", "used"), shown.select("qid", F.col("number").alias("old"), "source"))
     decided = completed(questions.withColumn("prompt", F.concat(F.lit("recommend: "), "query")), "prompt", "reply", client).select("qid", "query", decision(F.col("reply")).alias("decision"))
@@ -103,7 +104,7 @@ def smart_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "refined_document_chunks").where(F.col("content").isNotNull())
     sources = raw.select(F.col("chunk_id").alias("id"), F.col("metadata")["title"].alias("book"), "title").groupBy("id").agg(F.min("book").alias("book"), F.min("title").alias("title"))
     concepts = G.prerequisite_edges(table(spark, sf_dir, "concept_mapping"))
-    whole = smart_answers(asks(spark, sf_dir), chunks(spark, sf_dir), None, sources, items(spark, sf_dir).distinct(), concepts, OfflineClient())
+    whole = smart_answers(asks(spark, sf_dir), delivered(spark, sf_dir), None, sources, items(spark, sf_dir).distinct(), concepts, OfflineClient())
     return whole.select("qid", "answer", F.array_join("citations", "|").alias("citations"), F.to_json("decision").alias("decision"), F.size("prerequisites").alias("prerequisites"), F.size("related").alias("related"))
 
 

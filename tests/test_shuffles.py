@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.clients import OfflineClient
 from lectern.operators import retrieval as R
 from lectern.operators import scoring as S
+from lectern.plans import agent as A
 
 
 def plan(df) -> str:
@@ -16,3 +18,11 @@ def test_documents_are_not_repeated_for_every_block(spark):
     asks = docs.select(F.col("id").alias("qid"))
     met = S.met(S.dealt(R.tokenized(docs, "text"), 60), asks, 60, 60, lambda *_: None, "qid bigint", block=2)
     assert plan(met).count("Generate explode") == 1  # of the blocks of queries alone
+
+
+def test_answers_search_as_deep_as_asked_and_stop_when_accepted(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "hash table"), (1, "hash table"), (2, "tree")], "id bigint, text string")
+    asks, depths = spark.createDataFrame([(7, "hash table")], "qid bigint, query string"), []
+    monkeypatch.setattr(A, "bm25", lambda c, q, k=10: depths.append(k) or R.bm25(c, q, k))
+    assert [r["used"] for r in A.answered(asks, chunks, None, OfflineClient()).collect()] == [[1]]
+    assert depths == [10]
