@@ -25,7 +25,7 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, query, v``: the titles of every fiftieth chunk, and its vector as the query's."""
     raw = table(spark, sf_dir, "refined_document_chunks").where((F.col("chunk_id") % 50 == 0) & F.col("title").isNotNull())
     named = raw.groupBy(F.col("chunk_id").alias("qid")).agg(F.min("title").alias("query"))
-    return named.join(vectors(spark, sf_dir).withColumnRenamed("id", "qid"), "qid", "left")
+    return named.join(vectors(spark, sf_dir).where("id % 50 = 0").withColumnRenamed("id", "qid"), "qid", "left")
 
 
 def fused_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +38,10 @@ def fused_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "refined_document_chunks").where(F.col("content").isNotNull())
     book = F.coalesce(F.nullif(F.trim(F.col("metadata")["title"]), F.lit("")), F.lit("未知来源"))
     titles = F.coalesce(F.array_join("path_titles", " > "), F.lit(""))
-    sources = raw.select(F.col("chunk_id").alias("id"), book.alias("book"), titles.alias("titles"), "content").distinct()
+    sources = raw.select(F.col("chunk_id").alias("id"), book.alias("book"), titles.alias("titles"), "content")
     line = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] 《"), F.col("book"), F.lit("》 "), F.col("titles"))
-    return hits.join(sources, "id").select("qid", "id", "number", line.alias("source"), "content")
+    # each delivery once only behind the join, where the rows lie by id, so that the texts are shuffled once
+    return hits.join(sources, "id").distinct().select("qid", "id", "number", line.alias("source"), "content")
 
 
 def kg_rag_simple(spark: SparkSession, sf_dir: str) -> DataFrame:

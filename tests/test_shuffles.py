@@ -7,6 +7,7 @@ from lectern.functions.clients import OfflineClient
 from lectern.operators import retrieval as R
 from lectern.operators import scoring as S
 from lectern.plans import agent as A
+from lectern.plans import registry
 
 
 def plan(df) -> str:
@@ -26,3 +27,10 @@ def test_answers_search_as_deep_as_asked_and_stop_when_accepted(spark, monkeypat
     monkeypatch.setattr(A, "bm25", lambda c, q, k=10: depths.append(k) or R.bm25(c, q, k))
     assert [r["used"] for r in A.answered(asks, chunks, None, OfflineClient()).collect()] == [[1]]
     assert depths == [10]
+
+
+@pytest.mark.parametrize("name", ["fused_context"])
+def test_texts_are_told_apart_behind_the_join(spark, tiny, name):
+    """There the rows lie by id, so that the texts are shuffled once."""
+    shown = plan(registry.QUERIES[name](spark, tiny))
+    assert shown.index("Aggregate") < shown.index("Join")
