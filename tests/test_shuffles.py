@@ -29,7 +29,7 @@ def test_answers_search_as_deep_as_asked_and_stop_when_accepted(spark, monkeypat
     assert depths == [10]
 
 
-@pytest.mark.parametrize("name", ["fused_context", "context_whole"])
+@pytest.mark.parametrize("name", ["fused_context", "context_whole", "context_numbering"])
 def test_texts_are_told_apart_behind_the_join(spark, tiny, name):
     """There the rows lie by id, so that the texts are shuffled once."""
     shown = plan(registry.QUERIES[name](spark, tiny))
