@@ -34,3 +34,10 @@ def test_texts_are_told_apart_behind_the_join(spark, tiny, name):
     """There the rows lie by id, so that the texts are shuffled once."""
     shown = plan(registry.QUERIES[name](spark, tiny))
     assert shown.index("Aggregate") < shown.index("Join")
+
+
+@pytest.mark.parametrize("name", ["book_first_chapter"])
+def test_no_text_is_grouped(spark, tiny, name):
+    lines = plan(registry.QUERIES[name](spark, tiny)).splitlines()
+    assert not [x for x in lines if "Aggregate" in x and "content#" in x]
+    assert not [x for x in lines if "snippet" in x]
