@@ -36,7 +36,7 @@ def test_texts_are_told_apart_behind_the_join(spark, tiny, name):
     assert shown.index("Aggregate") < shown.index("Join")
 
 
-@pytest.mark.parametrize("name", ["book_first_chapter", "citation_display"])
+@pytest.mark.parametrize("name", ["book_first_chapter", "citation_display", "search_result_counts"])
 def test_no_text_is_grouped(spark, tiny, name):
     lines = plan(registry.QUERIES[name](spark, tiny)).splitlines()
     assert not [x for x in lines if "Aggregate" in x and "content#" in x]
